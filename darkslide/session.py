@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +72,21 @@ def _forget(spark: SparkSession) -> None:
             at.getFileSystem(conf).delete(at, True)
     except Exception:  # the session may be gone already; the shared folder is then cleaned by its owner
         pass
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package where they cannot import it by themselves; done once a session."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    here = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="darkslide-ship-"))
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    with zipfile.ZipFile(at / "darkslide.zip", "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(str(at / "darkslide.zip"))
