@@ -328,18 +328,19 @@ def word_repairs(words: DataFrame, min_count: int = 3, ratio: float = 3.0) -> Da
     return hits.groupBy("word").agg(F.max_by("fixed", F.struct("m", "fixed")).alias("fixed"))
 
 
-def find(values: DataFrame, fields: dict[str, bool], broadcast_words: int = 200_000) -> DataFrame:
+def find(values: DataFrame, fields: dict[str, bool], corpus: DataFrame | None = None, broadcast_words: int = 200_000) -> DataFrame:
     """(rec_id, field, value, fixed, path): the garbled values of some columns.
 
     values: rec_id and the columns named in fields (True: a path, whose segments are judged one by one). Other
     columns are ignored. Null, empty and ASCII values are never garbled; repeated rows give repeated results
-    only if their rec_id differs. Three passes: the words of the corpus are counted, their repairs found, and
+    only if their rec_id differs. corpus: the columns whose words count, if other than the values. Three passes: the words of the corpus are counted, their repairs found, and
     every value is judged by its spans, by signs that plain text does not have, and by its words.
     """
     from darkslide.session import cut
 
     values = values.select("rec_id", *fields)
-    counted = values.select(F.explode(words_of(*fields)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    corpus = values.select(*fields) if corpus is None else corpus
+    counted = corpus.select(F.explode(words_of(*corpus.columns)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counted = cut(counted, "words")
     bad = cut(word_repairs(counted), "word-repairs")
     bad_side = F.broadcast(bad) if bad.limit(broadcast_words + 1).count() <= broadcast_words else bad

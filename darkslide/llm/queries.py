@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkslide.llm import mojibake
+from darkslide.llm import lookalike, mojibake
 from darkslide.sources.tables import table
 
 
@@ -20,8 +20,18 @@ def p1_restored(spark: SparkSession, root: str) -> DataFrame:
     return mojibake.find(e, {"entry_name": True, "rel_folder": False}).withColumnRenamed("rec_id", "entry_id")
 
 
+def p2_forms(spark: SparkSession, root: str) -> DataFrame:
+    """Values that are not in their consistent form, with that form."""
+    e = table(spark, root, "entries").select(F.col("entry_id").alias("rec_id"), "rel_folder", "name")
+    return lookalike.canonical(e, ["rel_folder", "name"]).withColumnRenamed("rec_id", "entry_id")
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return p2_forms(spark, root).select("entry_id", "field")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_restored)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
