@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkslide.llm import lookalike, mojibake
+from darkslide.llm import lookalike, mojibake, truncation
 from darkslide.sources.tables import table
 
 
@@ -30,8 +30,29 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return p2_forms(spark, root).select("entry_id", "field")
 
 
+def _texts(spark: SparkSession, root: str) -> DataFrame:
+    """Entry names (of sidecars, what stands before `.json`) and sidecar titles; a title's sibling is the name of its sidecar."""
+    e = table(spark, root, "entries")
+    name = F.when(F.col("is_json"), F.regexp_replace("name", r"(?i)\.json$", "")).otherwise(F.col("name"))
+    e = e.select(F.col("entry_id").alias("rec_id"), F.lit("name").alias("field"), F.col("origin").alias("source"), name.alias("text"), F.coalesce("is_json", F.lit(False)).alias("sidecar_name"), F.lit(None).cast("string").alias("sibling"))
+    s = table(spark, root, "sidecars")
+    sibling = F.regexp_replace(F.regexp_extract("entry_name", r"([^/]*)$", 1), r"(?i)\.json$", "")
+    s = s.select(F.col("sidecar_id").alias("rec_id"), F.lit("title").alias("field"), F.col("origin").alias("source"), F.col("title").alias("text"), F.lit(False).alias("sidecar_name"), sibling.alias("sibling"))
+    return e.unionByName(s)
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.find(_texts(spark, root)).select("field", "rec_id")
+
+
+def p3_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Share of cut values per field and origin."""
+    texts = _texts(spark, root)
+    return truncation.shares(texts, truncation.find(texts)).withColumnRenamed("source", "origin")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p3_found, p3_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
