@@ -221,6 +221,7 @@ _TRIGGER = (
     "–-⁄₧€№™←-⇿∂-≥⌐⌠⌡─-◊㐀-鿿-｡-ﾟ�"
 )
 _TRIGGER_PAIRS = (
+    "[\u0400-\u04ff][\u00a0\u00ad][A-Za-z]",
     "[Â-ôĂĹ][ ­ŒœŠšŸŽžĆćŚśŤťŹźŁłĄąŞşĽľŻżˇ˘˙˛]",
     "[Α-ωµ][À-ÿ]",
     "[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]",

@@ -56,12 +56,12 @@ def ending(text: F.Column) -> F.Column:
     return F.translate(F.regexp_extract(stem, r"([^ ]*)$", 1), "123456789", "000000000")
 
 
-def hazards(values: DataFrame, by: list[str], reach: int = 5, rate: float = 0.001) -> DataFrame:
+def hazards(values: DataFrame, by: list[str], reach: int = 5, rate: float = 0.001, least_hazard: float = 0.2) -> DataFrame:
     """(by..., unit, length, n, excess): lengths at which values of a group stop too often to be chance.
 
     values: the columns named in by, with chars and bytes. The hazard of a length is n(length) / n(at least
-    length). Its neighbours are the lengths within reach on either side (absent lengths have hazard 0); the
-    median of theirs is what is expected. The p-value is the Chernoff bound of the binomial tail; the false
+    length). Its neighbours are the lengths within reach on either side; the median of their hazards is what is
+    expected. A limit stops most of what reaches it, so hazards under least_hazard are no limit. The p-value is the Chernoff bound of the binomial tail; the false
     discoveries among all tests are held at rate by the step-up rule. excess is the share of the values at the
     length beyond the expected. One row per group and length is all that windows and ranks see.
     """
@@ -71,10 +71,12 @@ def hazards(values: DataFrame, by: list[str], reach: int = 5, rate: float = 0.00
     order = Window.partitionBy(*by, "unit").orderBy("length")
     t = counted.withColumn("least", F.sum("n").over(order.rowsBetween(0, Window.unboundedFollowing)))
     t = t.withColumn("h", F.col("n") / F.col("least"))
-    around = F.concat(F.collect_list("h").over(order.rangeBetween(-reach, -1)), F.collect_list("h").over(order.rangeBetween(1, reach)))
-    around = F.array_sort(F.concat(F.transform(F.sequence(F.lit(1), F.lit(2 * reach)), lambda i: F.lit(0.0)), around))
-    t = t.withColumn("near", F.slice(around, -2 * reach, 2 * reach))
-    expected = (F.get("near", F.lit(reach - 1)) + F.get("near", F.lit(reach))) / 2
+    below, above = order.rangeBetween(-reach, -1), order.rangeBetween(1, reach)
+    # absent lengths below count as hazard 0; above, a length says something only while enough values reach it
+    gaps = F.transform(F.filter(F.sequence(F.lit(1), F.lit(reach)), lambda i: i > F.size(F.collect_list("h").over(below))), lambda i: F.lit(0.0))
+    near = F.array_sort(F.concat(gaps, F.collect_list("h").over(below), F.collect_list(F.when(F.col("least") >= 20, F.col("h"))).over(above)))
+    t = t.withColumn("near", near)
+    expected = (F.get("near", F.floor((F.size("near") - 1) / 2).cast("int")) + F.get("near", F.floor(F.size("near") / 2).cast("int"))) / 2
     t = t.withColumn("expected", F.greatest(expected, F.lit(0.5) / F.col("least")))
     h, e = F.least(F.col("h"), F.lit(1 - 1e-12)), F.least(F.col("expected"), F.lit(1 - 1e-9))
     log_p = -F.col("least") * (h * F.log(h / e) + (1 - h) * F.log((1 - h) / (1 - e)))
@@ -83,7 +85,7 @@ def hazards(values: DataFrame, by: list[str], reach: int = 5, rate: float = 0.00
     t = t.withColumn("rank", F.row_number().over(ranked)).withColumn("tests", F.count("*").over(Window.partitionBy()))
     passed = F.col("log_p") <= F.log(F.lit(rate) * F.col("rank") / F.col("tests"))
     t = t.withColumn("last", F.max(F.when(passed, F.col("rank"))).over(Window.partitionBy()))
-    return t.where((F.col("rank") <= F.col("last")) & (F.col("n") >= 5)).select(*by, "unit", "length", "n", (1 - F.col("expected") / F.col("h")).alias("excess"))
+    return t.where((F.col("rank") <= F.col("last")) & (F.col("n") >= 5) & (F.col("h") >= least_hazard)).select(*by, "unit", "length", "n", (1 - F.col("expected") / F.col("h")).alias("excess"))
 
 
 # chances of an ending that looks whole, after a cut and without one
@@ -107,18 +109,18 @@ def find(values: DataFrame, min_ends: int = 3, broadcast_rows: int = 100_000) ->
     base = kept.select(
         "rec_id", "field", "source", state.alias("state"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes"), ending(text).alias("word"),
         F.when(goes_on, "on").when(ends_there, "whole").alias("evidence"),
-        (F.length(F.regexp_replace(text, r"\d", "")) <= F.length(text) - 4).alias("numbered"),
+        "sidecar_name", (F.length(F.regexp_replace(text, r"\d", "")) <= F.length(text) - 4).alias("numbered"),
     )
     base = cut(base, "endings")
     by = ["field", "source", "state"]
-    # numbered names have few lengths by nature; with a whole extension they say nothing about limits
-    lengths = hazards(base.where("state <> 'fixed' and not (numbered and state = 'ext')"), by)
+    # numbered names have few lengths by nature, and a sidecar's name that ends in an extension has lost nothing
+    lengths = hazards(base.where("state <> 'fixed' and not ((numbered or sidecar_name) and state = 'ext')"), by)
     lengths = cut(lengths, "lengths")
     few = lengths.limit(broadcast_rows + 1).count() <= broadcast_rows
     side = lambda unit: (F.broadcast if few else (lambda d: d))(lengths.where(F.col("unit") == unit).select(*by, F.col("length").alias(unit), F.col("excess").alias(f"x_{unit}")))
     judged = base.join(side("chars"), [*by, "chars"], "left").join(side("bytes"), [*by, "bytes"], "left")
     excess = F.greatest(F.coalesce("x_chars", F.lit(0.0)), F.coalesce("x_bytes", F.lit(0.0)))
-    judged = judged.withColumn("excess", F.when((F.col("state") == "ext") & F.col("numbered"), 0.0).otherwise(excess))
+    judged = judged.withColumn("excess", F.when((F.col("state") == "ext") & (F.col("numbered") | F.col("sidecar_name")), 0.0).otherwise(excess))
     ends = judged.where("state = 'ext' and excess = 0").groupBy("word").agg(F.count("*").alias("ends")).where(F.col("ends") >= min_ends)
     asked = judged.where("state in ('bare', 'part', 'mark') or excess > 0")
     # few values are asked about, and the words they end in are counted before they are joined
