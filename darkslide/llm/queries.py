@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkslide.llm import lookalike, mojibake, truncation
+from darkslide.llm import lookalike, mojibake, survivors, truncation
+from darkslide.session import cut
 from darkslide.sources.tables import table
 
 
@@ -51,8 +52,31 @@ def p3_shares(spark: SparkSession, root: str) -> DataFrame:
     return truncation.shares(texts, truncation.find(texts)).withColumnRenamed("source", "origin")
 
 
+def _records(spark: SparkSession, root: str) -> DataFrame:
+    return survivors.contents(table(spark, root, "journal"))
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    kept = survivors.survivors(_records(spark, root), ["path", "year", "name"], ["albums"], "written_at")
+    return kept.select(F.col("content").alias("sha"), "rec_id")
+
+
+def p6_survivors(spark: SparkSession, root: str) -> DataFrame:
+    """One record per content: the surviving record's id, the best value of each field, all albums, and how many archive entries hold the content's size and checksum."""
+    r = cut(_records(spark, root), "contents")
+    kept = survivors.survivors(r, ["path", "year", "name"], ["albums"], "written_at")
+    best = survivors.best_values(r, ["path", "year", "name"], "stage").groupBy("content").pivot("field", ["path", "year", "name"]).agg(F.first("value"))
+    albums = survivors.all_items(r, "albums").withColumnRenamed("items", "albums")
+    parts = F.split("id", ":")
+    keys = r.where("content is not null and id is not null").groupBy("content").agg(F.max(F.struct(F.get(parts, F.lit(0)).try_cast("long").alias("size"), F.conv(F.get(parts, F.lit(1)), 16, 10).try_cast("long").alias("crc32"))).alias("k"))
+    copies = table(spark, root, "entries").groupBy("size", "crc32").agg(F.count("*").alias("entries"))
+    keys = keys.select("content", "k.size", "k.crc32").join(copies, ["size", "crc32"], "left").select("content", "crc32", F.coalesce("entries", F.lit(0)).alias("entries"))
+    out = kept.join(best, "content", "left").join(albums, "content", "left").join(keys, "content", "left")
+    return out.withColumnRenamed("content", "sha")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p3_found, p3_shares)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p3_found, p3_shares, p6_found, p6_survivors)}
 
 
 def oracle_sql() -> dict[str, str]:
