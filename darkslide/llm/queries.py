@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkslide.llm import lookalike, mojibake, survivors, truncation
+from darkslide.llm import bpe, lookalike, mojibake, survivors, truncation
 from darkslide.session import cut
 from darkslide.sources.tables import table
 
@@ -75,8 +75,17 @@ def p6_survivors(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumnRenamed("content", "sha")
 
 
+def _vocabulary() -> F.Column:
+    return bpe.rank_map(f"{bpe.TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def p7_ids(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select(F.col("doc_id").alias("id"), "text")
+    return bpe.encode(docs, _vocabulary()).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p3_found, p3_shares, p6_found, p6_survivors)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p3_found, p3_shares, p6_found, p6_survivors, p7_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
