@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkslide.llm import bpe, lookalike, mojibake, survivors, truncation
+from darkslide.llm import bpe, lookalike, mojibake, quality, survivors, truncation
 from darkslide.session import cut
 from darkslide.sources.tables import table
 
@@ -84,8 +84,27 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode(docs, _vocabulary()).withColumnRenamed("id", "doc_id")
 
 
+def _docs(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def p9_kinds(spark: SparkSession, root: str) -> DataFrame:
+    """Characters of each document by kind of text."""
+    return quality.classify(_docs(spark, root), table(spark, root, "common_words")).withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return p9_kinds(spark, root).where("found").select("doc_id")
+
+
+def p9_stats(spark: SparkSession, root: str) -> DataFrame:
+    """Statistics of each whole document; null texts have those of an empty text."""
+    docs = _docs(spark, root).withColumn("text", F.coalesce("text", F.lit("")))
+    return quality.with_stats(docs, table(spark, root, "common_words")).drop("text").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p3_found, p3_shares, p6_found, p6_survivors, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p3_found, p3_shares, p6_found, p6_survivors, p7_ids, p9_found, p9_kinds, p9_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
