@@ -19,20 +19,27 @@ from darkslide.session import cut
 
 _END = r"[.!?…。！？।؟:;][\"'”’»“)\]]*[\p{So}\p{Sk}\p{M}‍️\s]*$"
 _LINK = r"https?://\S+"
+_BLANK = "\\s\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000\ufeff"
 _CJK = r"[぀-ヿ㐀-鿿]"
 
-STATS = ("log_words", "word_length", "symbols", "digits", "common", "ends", "unique", "separators", "marks", "upper")
+STATS = ("log_words", "word_length", "symbols", "digits", "common", "ends", "unique", "separators", "marks", "upper", "rare")
 
 # Inspected examples, by kind: (kind, text). Each group starts one component.
 EXAMPLES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("prose", ("We walked along the river until it was dark. The old mill was closed, but the lights were on and somebody was playing the piano.", "This is the house that my aunt bought in 1971. She never told us why the garden had two gates, and nobody asked her.", "Es hat den ganzen Tag geregnet. Wir haben auf den Zug gewartet, und die Kinder waren müde.", "Nous avons pris le train de nuit pour aller à la mer. Le matin était froid, mais il y avait du soleil.")),
     ("prose", ("the camera was left on the table and nobody knew who had taken the last of the pictures because the film was new", "wir wollten noch vor dem abend zurück sein aber der weg war länger als auf der karte", "мы вернулись домой и пили чай на веранде потому что было ещё тепло")),
     ("prose", ("昨日は雨だったので、家で古い写真を整理していました。母はとても喜んでいました。", "この道をまっすぐ行くと、小さな橋があります。そこで写真を撮りました。")),
+    ("prose", ("「その手紙はもう読みましたか。」\n「いいえ、まだ読んでいません。」", "– この写真はどこで撮りましたか。\n– 丘の上の神社で撮りました。", "\"去年の夏に駅で撮りました。\"\n\"とても暑い日でした。\"")),
+    ("prose", ("Весной мы посадили яблоню у старого забора. Соседи помогали нам весь день.", "Поезд опоздал на два часа. Дети спали, а дедушка читал газету.", "Вечером стало холодно, и мы зажгли печь.")),
+    ("prose", ("we took the long way home and the long way was full of snow and the snow was deep so the car stood at the gate and the car stayed there for the night and in the morning the snow was deep and the gate was shut and we took the long way again and nobody was at the gate and the long way was full of snow", "ich habe den alten koffer auf dem boden gefunden und der koffer war voll mit bildern und die bilder waren alle ohne datum und ich habe die bilder auf den tisch gelegt und der koffer war leer und die bilder waren alle ohne namen")),
+    ("prose", ("昨日は雨でした。  母は家で写真を見ていました。  昨日は雨でした。  父は駅まで歩きました。\n昨日は雨でした。  母は家で手紙を書いていました。  父は駅まで歩きました。  母は家で写真を見ていました。", "今日は風が強い https://example.invalid/x から、海には行きませんでした。 🙂 家で古い写真を整理しました。 —\n明日は晴れるといいですね。 …")),
+    ("prose", ("What a day! 🙂 See https://example.invalid/a for the rest of it.", "The last boat of the summer. 📷", "We met at the station again.")),
     ("prose", ("– Did you see the letter that came with the pictures?\n– No, I was not at home when it came.\n– Then it must still be in the box.", "\"I do not know where this was taken.\"\n\"It was on the hill, in the summer before we moved.\"")),
     ("prose", ("The ship left the harbour at noon and we stood on\nthe pier until it was gone. My brother had the only\ncamera and used the last of the film on the gulls, so\nthere is no picture of the ship.", "Das Haus am See wurde im Winter verkauft, und die neuen\nBesitzer haben den Garten ganz anders angelegt als er auf\nden Bildern zu sehen ist.")),
     ("list", ("- Apples\n- Lamp oil\n- Blue blanket\n- Tripod", "* Garden\n* Harbour\n* Old church\n* Station", "[x] Pack the tent, Norway\n[ ] Call Anna, home\n[x] Scan slides, attic")),
     ("list", ("1. Castle Hill\n2. Market Square\n3. Boat House\n4. Lower Bridge\n5. Mill Lane", "1. Schloss\n2. Marktplatz\n3. Bootshaus\n4. Untere Brücke")),
-    ("list", ("Castle Hill\nMarket Square\nBoat House\nLower Bridge\nMill Lane\nHarbour", "Schloss\nMarktplatz\nBootshaus\nStraße\nKirche", "Castle, Market, Boats, Bridge, Mill, Harbour, Church, Station, Garden", "海\n山\n神社\n海\n公園", "海, 山, 神社, 公園, 海, 山")),
+    ("list", ("Castle Hill\nMarket Square\nBoat House\nLower Bridge\nMill Lane\nHarbour", "Schloss\nMarktplatz\nBootshaus\nStraße\nKirche", "Castle, Market, Boats, Bridge, Mill, Harbour, Church, Station, Garden", "Sunset, Sunset, Castle, Boats, Sunset, Castle")),
+    ("list", ("海辺\n山の朝\n神社\n海辺\n公園", "海辺, 山の朝, 神社, 公園, 海辺, 山の朝", "お祭り\nスキー\n誕生日会")),
     ("list", ("IMG_2210.jpg\nIMG_2211.jpg\nDSC04410.JPG\nscan-118.tif", "VID_0091.mp4\nIMG_3310.heic\nIMG_3311.heic")),
     ("table", ("| 2019-04-02 | open | Lisbon |\n| 2019-04-03 | closed | Porto |\n| 2019-04-05 | open | Faro |", "|---|---|---|\n| 12.1 | a.jpg | 4400 |\n| 13.9 | b.jpg | 5100 |")),
     ("table", ("a.jpg,2019-04-02,12.1,ok\nb.jpg,2019-04-03,13.9,late\nc.jpg,2019-04-05,11.0,ok", "\"4400\";\"12.1\";\"Lisbon\";\"a.jpg\"\n\"5100\";\"13.9\";\"Porto\";\"b.jpg\"", "4400\ta.jpg\t2019-04-02\tok\n5100\tb.jpg\t2019-04-03\tlate")),
@@ -51,9 +58,9 @@ def stats(text: F.Column, common: list[str], common_cjk: list[str]) -> dict[str,
     """The statistics of a text as columns. common: lower-case frequent words; common_cjk: those of scripts without spaces."""
     text = F.regexp_replace(text, _LINK, " ")
     letters = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]+(?:['’][\p{L}]+)*"), F.lit(0))
-    tokens = F.filter(F.split(text, r"[\s　]+"), lambda w: w != "")
+    tokens = F.filter(F.split(text, f"[{_BLANK}]+"), lambda w: w != "")
     n_cjk = F.regexp_count(text, F.lit(_CJK))
-    n = F.greatest(F.length(F.regexp_replace(text, r"[\s　]+", "")), F.lit(1))
+    n = F.greatest(F.length(F.regexp_replace(text, f"[{_BLANK}]+", "")), F.lit(1))
     n_letters = F.greatest(F.size(letters), F.lit(1))
     words = F.greatest(F.size(tokens) + n_cjk / 2.5, F.lit(1.0))
     lines = F.filter(F.split(text, r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0)
@@ -68,10 +75,12 @@ def stats(text: F.Column, common: list[str], common_cjk: list[str]) -> dict[str,
         "digits": F.least(F.regexp_count(text, F.lit(r"\p{N}")) / n, F.lit(0.5)),
         "common": F.least(F.when(n_cjk > n / 3, cjk).otherwise(known), F.lit(0.6)),
         "ends": F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(_END)))) / n_lines,
-        "unique": F.when(n_cjk > n / 3, F.size(F.array_distinct(tokens)) / F.greatest(F.size(tokens), F.lit(1))).otherwise(F.size(F.array_distinct(letters)) / n_letters),
+        "unique": F.size(F.array_distinct(letters)) / n_letters,
         "separators": F.least(F.regexp_count(text, F.lit(r"[,;|\t]| {3,}|、(?=\S{1,6}、)")) / words, F.lit(1.2)),
         "marks": F.least((F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(r"^\s*(?:[-*•‣·+]|\[.?\]|\d{1,3}[.)])\s+\S")))) + F.size(spread)) / n_lines, F.lit(1.0)),
         "upper": F.size(F.filter(tokens, lambda w: F.rlike(w, F.lit(r"^[\p{Lu}\p{Nd}\p{P}\p{S}]")))) / F.greatest(F.size(tokens), F.lit(1)),
+        # letters that are rare in languages of the Latin script, and frequent in strings of random ones
+        "rare": F.least(F.regexp_count(text, F.lit("(?i)[jkqvwxyz]")) / F.greatest(F.regexp_count(text, F.lit("(?i)[a-z]")), F.lit(1)), F.lit(0.4)),
     }
 
 
@@ -111,15 +120,16 @@ class Mixture:
         return s / s.sum(axis=1, keepdims=True)
 
 
-def fit(rows: DataFrame, examples: list[np.ndarray], rounds: int = 25, least_spread: float = 0.08, prior: float = 30.0, tolerance: float = 1e-3) -> Mixture:
+def fit(rows: DataFrame, examples: list[np.ndarray], rounds: int = 25, least_spread: float = 0.08, most_spread: float = 1.0, prior_share: float = 0.004, tolerance: float = 1e-3) -> Mixture:
     """Expectation-maximisation over all rows (columns of STATS, n_chars), starting from the examples, one group a component.
 
-    The examples stay in as prior observations (prior rows a component), so that a kind that the corpus lacks keeps
-    its component. An iteration sends one line of sums per component and partition; their size does not depend on
+    The examples stay in as prior observations, for each component a share of the rows, so that a kind that the
+    corpus lacks keeps its component, at every size alike. An iteration sends one line of sums per component and partition; their size does not depend on
     the rows. An empty table leaves the components at the examples.
     """
     cols = list(STATS)
-    agg = rows.agg(*(F.avg(c).alias(f"m_{c}") for c in cols), *(F.stddev_pop(c).alias(f"s_{c}") for c in cols)).first()
+    agg = rows.agg(*(F.avg(c).alias(f"m_{c}") for c in cols), *(F.stddev_pop(c).alias(f"s_{c}") for c in cols), F.count("*").alias("n")).first()
+    prior = max(10.0, prior_share * agg["n"])
     every = np.vstack(examples)
     mean = np.array([agg[f"m_{c}"] if agg[f"m_{c}"] is not None else every[:, i].mean() for i, c in enumerate(cols)])
     scale = np.array([max(agg[f"s_{c}"] or every[:, i].std(), 1e-3) for i, c in enumerate(cols)])
@@ -159,7 +169,7 @@ def fit(rows: DataFrame, examples: list[np.ndarray], rounds: int = 25, least_spr
             v[r.i] = r.v
         n, x, xx = v[:k] + seed_n, v[k : k + k * d].reshape(k, d) + seed_x, v[k + k * d : k + 2 * k * d].reshape(k, d) + seed_xx
         centres = x / n[:, None]
-        spreads = np.maximum(xx / n[:, None] - centres**2, least_spread)
+        spreads = np.clip(xx / n[:, None] - centres**2, least_spread, most_spread)
         m = Mixture(mean, scale, n / n.sum(), centres, spreads)
         score = v[-2] / max(v[-1], 1)
         if abs(score - last) < tolerance:
