@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkslide.llm import bpe, lookalike, mojibake, quality, survivors, truncation
+from darkslide.llm import bpe, lookalike, mixing, mojibake, quality, survivors, truncation
 from darkslide.session import cut
 from darkslide.sources.tables import table
 
@@ -84,6 +84,23 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return bpe.encode(docs, _vocabulary()).withColumnRenamed("id", "doc_id")
 
 
+def _mixed(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    tokens = bpe.encode(docs.select(F.col("doc_id").alias("id"), "text"), _vocabulary()).select("id", F.size("ids").alias("tokens"))
+    sized = cut(docs.select(F.col("doc_id").alias("id"), "source").join(tokens, "id"), "sizes")
+    return mixing.mix(sized, table(spark, root, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, root: str) -> DataFrame:
+    """The order of the mix, a line for each occurrence of a document."""
+    return _mixed(spark, root).withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Target and actual share of all tokens by source."""
+    return mixing.shares(_mixed(spark, root), table(spark, root, "mix_targets"))
+
+
 def _docs(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select(F.col("doc_id").alias("id"), "text")
 
@@ -104,7 +121,7 @@ def p9_stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p3_found, p3_shares, p6_found, p6_survivors, p7_ids, p9_found, p9_kinds, p9_stats)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p3_found, p3_shares, p6_found, p6_survivors, p7_ids, p8_mix, p8_shares, p9_found, p9_kinds, p9_stats)}
 
 
 def oracle_sql() -> dict[str, str]:
