@@ -12,9 +12,13 @@ from pyspark.sql import types as T
 from darkslide.functions.lets import let
 
 
+def _plain(s: pd.Series) -> list[str | None]:
+    return [v if isinstance(v, str) else None for v in s]
+
+
 @F.pandas_udf(T.StringType())
 def _nfc_udf(s: pd.Series) -> pd.Series:
-    return s.map({v: unicodedata.normalize("NFC", v) for v in s.dropna().unique()})
+    return pd.Series([None if v is None else unicodedata.normalize("NFC", v) for v in _plain(s)], dtype=object)
 
 
 def is_ascii(c: Column) -> Column:
@@ -28,7 +32,7 @@ def nfc(c: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _fold_udf(s: pd.Series) -> pd.Series:
-    return s.map({v: "".join(c.lower()[:1] for c in unicodedata.normalize("NFC", v)) for v in s.dropna().unique()})
+    return pd.Series([None if v is None else "".join(c.lower()[:1] for c in unicodedata.normalize("NFC", v)) for v in _plain(s)], dtype=object)
 
 
 def fold_key(c: Column) -> Column:
