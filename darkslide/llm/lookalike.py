@@ -192,7 +192,8 @@ def canonical(values: DataFrame, fields: list[str]) -> DataFrame:
 
     @F.pandas_udf(T.StringType())
     def plain_udf(s: pd.Series) -> pd.Series:
-        return s.map({v: plain(v, model) for v in s.unique()})
+        done = {v: plain(v, model) for v in set(s)}
+        return pd.Series([done[v] for v in s], dtype=object)
 
     parts = [values.select("rec_id", F.lit(f).alias("field"), F.col(f).alias("value")).where(F.length("value") != F.octet_length("value")).where(doubtful(F.col("value"))) for f in fields]
     doubt = parts[0]

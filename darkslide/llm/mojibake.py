@@ -240,7 +240,7 @@ REPAIR_SCHEMA = T.StructType([T.StructField("garbled", T.BooleanType()), T.Struc
 @F.pandas_udf(REPAIR_SCHEMA)
 def repair_udf(values: pd.Series) -> pd.DataFrame:
     """repair() of each value, Arrow-batched; equal values of a batch are done once."""
-    done = {v: repair(v) for v in values.unique()}
+    done = {v: repair(v) for v in set(values)}
     return pd.DataFrame([done[v] for v in values], columns=["garbled", "fixed", "path"])
 
 
