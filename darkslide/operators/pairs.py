@@ -52,7 +52,8 @@ def propagate(dated: DataFrame, pairs: DataFrame) -> DataFrame:
     weak = lambda s, t: t.isNull() | s.isin("filename", "filename-date")
     out = dated.join(both, "id", "left").join(other, "_other", "left")
     take = F.col("_other").isNotNull() & weak(F.col("source"), F.col("t")) & ~weak(F.col("_source"), F.col("_t"))
-    return out.withColumn("t", F.when(take, F.col("_t")).otherwise(F.col("t"))).withColumn("source", F.when(take, "live").otherwise(F.col("source"))).drop("_other", "_t", "_source")
+    new = {"t": F.when(take, F.col("_t")).otherwise(F.col("t")), "source": F.when(take, "live").otherwise(F.col("source"))}
+    return out.withColumns(new).drop("_other", "_t", "_source")
 
 
 def shared_identifier(image: F.Column, video: F.Column) -> F.Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from darkslide.functions import folders, kinds, text
 from darkslide.operators import dating, dedup, ledger, pairs, placing, report, sidecars, zones
+from darkslide.session import cut
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,7 @@ def plan(index: DataFrame, bodies: DataFrame, options: Options) -> Plan:
     media = e.where("not is_json and not is_system and not is_symlink and not is_screenshot")
     asked = media if options.include_trash else media.where("class <> 'trash'")
     matches = sidecars.match(asked, side)
+    matches = cut(matches, "matches")
     members = media.join(matches.select(F.col("media_id").alias("id"), "sidecar_id"), "id", "left").join(side.select(F.col("id").alias("sidecar_id"), "sc"), "sidecar_id", "left")
     score = dedup.canonical_score(F.col("folder"))
     first = F.struct(score.alias("score"), "ord")
@@ -66,14 +68,16 @@ def plan(index: DataFrame, bodies: DataFrame, options: Options) -> Plan:
     when = dating.resolve(dating.from_sidecar(F.col("sc.taken"), F.col("sc.creation"), none, none, none, now), F.lit(None).cast(dating.WHEN), dating.from_name(F.col("canon.name"), now))
     g = g.withColumn("w", when).withColumn("kind", kinds.ext_kind(F.col("canon.name")))
     flat = g.select("group_id", F.col("group_id").alias("id"), "ord", "n_members", "size", "canon", "kind", "sc", F.col("w.t").alias("t"), F.col("w.offset_s").alias("offset_s"), F.col("w.source").alias("source"), F.col("w.tz_step").alias("tz_step"), F.col("canon.folder").alias("folder"), text.fold_key(text.live_stem(F.col("canon.name"))).alias("stem"), F.lit(None).cast("string").alias("content_id"))
-    paired = pairs.live_pairs(flat)
+    # what later stages read several times is written once
+    flat = cut(flat, "groups")
+    paired = cut(pairs.live_pairs(flat), "pairs")
     dated = pairs.propagate(flat, paired)
     numbered = dated.withColumn("ord", F.col("ord.zip_ord").cast("bigint") * 2**31 + F.col("ord.entry_ord"))
-    dated = zones.fill_offsets(numbered, options.default_zone)
+    dated = zones.fill_offsets(cut(numbered, "dated"), options.default_zone)
     trash = F.lit(False) if options.include_trash else F.col("canon.class") == "trash"
     dated = dated.withColumns({"year": F.year(F.timestamp_seconds(F.col("t") + F.coalesce("offset_s", F.lit(0)))), "skip": trash, "not_importable": kinds.not_importable(F.col("kind"), F.col("canon.name"))})
     fate = ledger.group_fate(F.lit(False), F.lit(False), F.col("skip"), F.col("not_importable"))
-    groups = dated.withColumn("fate", fate)
+    groups = cut(dated.withColumn("fate", fate), "plan")
     where = placing.directory(F.lit(False), F.col("not_importable"), F.col("year"), F.col("kind"))
     placed = placing.number_names(groups.where("not skip").select(F.col("group_id").alias("id"), where.alias("dir"), F.col("canon.name").alias("name"), "ord"))
     keys = groups.select("size", F.col("fate").alias("group_fate"), "group_id")

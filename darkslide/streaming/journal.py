@@ -11,9 +11,14 @@ from darkslide.sources.journal import records
 
 
 def lines(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
-    """New journal files of a folder, line by line; `line` orders records by file time and place."""
+    """New journal files of a folder, line by line, with the time, name and block they come from."""
     raw = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(folder)
-    return records(raw.select("value", F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("line")))
+    return raw.select("value", F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block")).alias("origin"))
+
+
+def _batch_records(batch: DataFrame) -> DataFrame:
+    """Records of one batch; `line` orders them by file time and place in the file."""
+    return records(batch.select("value", F.struct("origin.at", "origin.file", "origin.block", F.monotonically_increasing_id().alias("n")).alias("line")))
 
 
 def keep_latest(stream: DataFrame, target: str, checkpoint: str, keep: int = 2) -> StreamingQuery:
@@ -27,6 +32,7 @@ def keep_latest(stream: DataFrame, target: str, checkpoint: str, keep: int = 2)
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = _version(spark, target, number)
+        batch = _batch_records(batch)
         both = batch if old is None else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{target}/v={old}"))
         latest(both, "id", "line").select(*batch.columns).write.mode("overwrite").parquet(f"{target}/v={number}")
         _forget(spark, target, number - keep)

@@ -90,7 +90,7 @@ def test_effects_run_twice(spark, tables, tmp_path):
     with open(tmp_path / "journal.jsonl", "a") as f:
         f.write('{"id": "torn')
     effects.Journal(str(tmp_path / "journal.jsonl")).close()
-    assert journal_source.read(spark, str(tmp_path / "journal.jsonl")).count() == 5
+    assert journal_source.read(spark, str(tmp_path / "journal.jsonl")).count() == 6
 
 
 def test_report_files(spark, tmp_path):
