@@ -38,6 +38,7 @@ PATTERNS = {
     "compact": (rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt _-]?(\d{{2}})(\d{{2}})(\d{{2}})?(?:[.,](\d+))?()?{_ZONE}$", 1, 2, 3, 4),
 }
 UNITS = {"epoch_s": 1_000_000, "epoch_ms": 1_000, "epoch_us": 1, "epoch_ns": 0.001}
+LEAST = {"epoch_s": 0.0, "epoch_ms": 1e9, "epoch_us": 1e12, "epoch_ns": 1e15}  # smaller numbers would name days at the epoch itself
 FORMATS = (*PATTERNS, *UNITS)
 _NUMBER = r"^[+-]?\d+(\.\d*)?([eE][+-]?\d+)?$"
 _JUNK = "[\\x00-\\x20\\u00a0\\u2007\\u202f\\ufeff]+"
@@ -96,7 +97,7 @@ def candidates(text: F.Column, low_year: int = 1800, high_year: int = 2100) -> F
 
     def units(number: F.Column) -> F.Column:
         def one(fmt: str, scale: float) -> F.Column:
-            us = F.when((F.abs(number) < F.lit(10.0) ** 20) & (number != 0), number * F.lit(scale).cast("decimal(11,3)"))
+            us = F.when((F.abs(number) < F.lit(10.0) ** 20) & (F.abs(number) >= LEAST[fmt]) & (number != 0), number * F.lit(scale).cast("decimal(11,3)"))
             return let(us, lambda us: F.when(us.between(low, high), F.struct(F.lit(fmt).alias("fmt"), us.try_cast("long").alias("wall_us"), F.lit(0).cast("long").alias("offset_s"))))
 
         return F.array(*(one(*u) for u in UNITS.items()))
