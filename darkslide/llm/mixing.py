@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 def whole_parts(weights: dict[str, float], period: int) -> dict[str, int]:
     """Weights as whole parts of the period, by largest remainder; positive weights keep at least one part. Parts are reduced by their common divisor."""
+    if not any(w > 0 for w in weights.values()):
+        return {}
     total = sum(weights.values())
     exact = {s: w / total * period for s, w in weights.items() if w > 0}
     parts = {s: max(1, int(x + 1e-9)) for s, x in exact.items()}
@@ -29,7 +31,7 @@ def whole_parts(weights: dict[str, float], period: int) -> dict[str, int]:
     while sum(parts.values()) > period:
         most = max(parts, key=lambda s: (parts[s] - exact[s], parts[s], s))
         parts[most] -= 1
-    d = gcd(*parts.values()) if parts else 1
+    d = gcd(*parts.values())
     return {s: n // d for s, n in parts.items()}
 
 

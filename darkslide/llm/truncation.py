@@ -92,12 +92,13 @@ def hazards(values: DataFrame, by: list[str], reach: int = 5, rate: float = 0.00
 _WHOLE_IF_CUT, _WHOLE_IF_NOT = 0.25, 0.98
 
 
-def find(values: DataFrame, min_ends: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
+def find(values: DataFrame, min_ends: int = 3, least_broken: float = 0.3, broadcast_rows: int = 100_000) -> DataFrame:
     """(rec_id, field, source, is_cut) for every value.
 
     values: rec_id, field, source, text, sidecar_name (boolean), sibling: a longer form of the same text where
     there is one, else null. Other columns are ignored. Null and empty texts are never cut; a null source is a
-    source of its own. A file name without a whole extension is cut; a title without one may be whole.
+    source of its own. A file name without a whole extension is cut; a title without one may be whole. A length
+    counts as a limit only if at least least_broken of the values there end in words with which whole values do not.
     """
     text, sib = F.col("text"), F.col("sibling")
     kept = values.select("rec_id", "field", F.coalesce(F.col("source"), F.lit("\u0000")).alias("source"), "text", "sidecar_name", "sibling")
@@ -125,6 +126,13 @@ def find(values: DataFrame, min_ends: int = 3, broadcast_rows: int = 100_000) ->
     asked = judged.where("state in ('bare', 'part', 'mark') or excess > 0")
     # few values are asked about, and the words they end in are counted before they are joined
     asked = asked.join(ends, "word", "left").withColumn("whole", F.col("ends").isNotNull() & (F.col("word") != ""))
+    # where names just happen to have one length, their endings are whole; a limit breaks many of them
+    asked = asked.withColumns({"unit": F.when(F.coalesce("x_chars", F.lit(0.0)) >= F.coalesce("x_bytes", F.lit(0.0)), "chars").otherwise("bytes")})
+    asked = asked.withColumn("length", F.when(F.col("unit") == "chars", F.col("chars")).otherwise(F.col("bytes")))
+    broken = asked.where("excess > 0").groupBy(*by, "unit", "length").agg(F.avg((~F.col("whole")).cast("double")).alias("broken"))
+    broken = broken.where(F.col("broken") >= least_broken)
+    asked = asked.join(F.broadcast(broken) if few else broken, [*by, "unit", "length"], "left")
+    asked = asked.withColumn("excess", F.when(F.col("broken").isNotNull(), F.col("excess")).otherwise(0.0))
     like_cut = F.when(F.col("whole"), _WHOLE_IF_CUT).otherwise(1 - _WHOLE_IF_CUT)
     like_not = F.when(F.col("whole"), _WHOLE_IF_NOT).otherwise(1 - _WHOLE_IF_NOT)
     posterior = F.col("excess") * like_cut / (F.col("excess") * like_cut + (1 - F.col("excess")) * like_not)
