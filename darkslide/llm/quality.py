@@ -54,20 +54,26 @@ EXAMPLES: tuple[tuple[str, tuple[str, ...]], ...] = (
 KINDS = ("prose", "list", "table", "junk")
 
 
-def stats(text: F.Column, common: list[str], common_cjk: list[str]) -> dict[str, F.Column]:
-    """The statistics of a text as columns. common: lower-case frequent words; common_cjk: those of scripts without spaces."""
-    text = F.regexp_replace(text, _LINK, " ")
-    letters = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]+(?:['’][\p{L}]+)*"), F.lit(0))
-    tokens = F.filter(F.split(text, f"[{_BLANK}]+"), lambda w: w != "")
-    n_cjk = F.regexp_count(text, F.lit(_CJK))
-    n = F.greatest(F.length(F.regexp_replace(text, f"[{_BLANK}]+", "")), F.lit(1))
+def _parts(text: F.Column) -> dict[str, F.Column]:
+    """What the statistics share, so that a text is split once."""
+    return {
+        "_letters": F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}]+(?:['’][\p{L}]+)*"), F.lit(0)),
+        "_tokens": F.filter(F.split(text, f"[{_BLANK}]+"), lambda w: w != ""),
+        "_lines": F.filter(F.split(text, r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0),
+        "_cjk": F.regexp_count(text, F.lit(_CJK)),
+        "_chars": F.greatest(F.length(F.regexp_replace(text, f"[{_BLANK}]+", "")), F.lit(1)),
+    }
+
+
+def _stats(text: F.Column, common: list[str], common_cjk: list[str]) -> dict[str, F.Column]:
+    """The statistics of a text as columns, given its parts. common: lower-case frequent words; common_cjk: those of scripts without spaces."""
+    letters, tokens, lines, n_cjk, n = map(F.col, ("_letters", "_tokens", "_lines", "_cjk", "_chars"))
     n_letters = F.greatest(F.size(letters), F.lit(1))
     words = F.greatest(F.size(tokens) + n_cjk / 2.5, F.lit(1.0))
-    lines = F.filter(F.split(text, r"[\r\n]+"), lambda x: F.length(F.trim(x)) > 0)
     n_lines = F.greatest(F.size(lines), F.lit(1))
     known = F.size(F.array_intersect(letters, F.array(*map(F.lit, common)))) / F.greatest(F.size(F.array_distinct(letters)), F.lit(1))
     cjk = F.regexp_count(text, F.lit("|".join(sorted(common_cjk, key=lambda w: -len(w))) or "\\0")) / F.greatest(n_cjk / 4, F.lit(1.0))
-    spread = F.transform(F.filter(lines, lambda x: F.rlike(x, F.lit(r"\S {2,}\S+ {2,}\S|\t|[|;,]\S|\" *;|\| "))), lambda x: F.length(x))
+    spread = F.filter(lines, lambda x: F.rlike(x, F.lit(r"\S {2,}\S+ {2,}\S|\t|[|;,]\S|\" *;|\| ")))
     return {
         "log_words": F.log1p(words),
         "word_length": F.log(F.least(n / words, F.lit(60.0)) + 1),
@@ -88,8 +94,10 @@ def with_stats(texts: DataFrame, common: DataFrame) -> DataFrame:
     """texts with the columns of STATS. common: (lang, word), a fixed small table; null words are ignored."""
     words = sorted({r.word.lower() for r in common.select("word").where("word is not null").collect()})
     cjk = [w for w in words if any("぀" <= c <= "鿿" for c in w)]
-    cols = stats(F.col("text"), [w for w in words if w not in cjk], cjk)
-    return texts.withColumns({k: v.cast("double") for k, v in cols.items()})
+    plain = texts.withColumn("_text", F.regexp_replace("text", _LINK, " "))
+    cols = _stats(F.col("_text"), [w for w in words if w not in cjk], cjk)
+    split = plain.withColumns(_parts(F.col("_text")))
+    return split.withColumns({k: v.cast("double") for k, v in cols.items()}).drop("_text", "_letters", "_tokens", "_lines", "_cjk", "_chars")
 
 
 def blocks(docs: DataFrame, shortest: int = 1) -> DataFrame:
