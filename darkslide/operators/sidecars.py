@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from darkslide.functions.text import EDITED, fold_key, nfc
+from darkslide.session import cut
 
 _LIMIT = 51  # bytes of a sidecar's name with its extension
 
@@ -81,18 +82,22 @@ def match(media: DataFrame, sidecars: DataFrame) -> DataFrame:
     a pass the first candidate that hits wins; an earlier pass wins over a later one. Three equi-joins on (folder,
     key): a folder that holds a large share of the rows spreads over its names.
     """
-    m = media.select(F.col("id").alias("media_id"), "folder", F.posexplode(candidates_udf("name", nfc(F.col("name")))).alias("position", "candidate"))
     s = sidecars.select(F.col("id").alias("sidecar_id"), "folder", "name", "ord")
-    exact = s.groupBy("folder", "name").agg(F.max_by("sidecar_id", "ord").alias("sidecar_id"))
-    composed = s.groupBy("folder", nfc(F.col("name")).alias("name")).agg(F.min("sidecar_id").alias("sidecar_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-    folded = s.groupBy("folder", fold_key(F.col("name")).alias("name")).agg(F.min("sidecar_id").alias("sidecar_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-    hits = m.join(exact.withColumnRenamed("name", "candidate"), ["folder", "candidate"]).select("media_id", "sidecar_id", F.lit(1).alias("pass"), "position")
-    rest = m.join(hits.select("media_id").distinct(), "media_id", "left_anti")
-    second = rest.withColumn("k", nfc(F.col("candidate"))).join(composed.withColumnRenamed("name", "k"), ["folder", "k"]).select("media_id", "sidecar_id", F.lit(2).alias("pass"), "position")
-    third = rest.withColumn("k", fold_key(F.col("candidate"))).join(folded.withColumnRenamed("name", "k"), ["folder", "k"]).select("media_id", "sidecar_id", F.lit(3).alias("pass"), "position")
-    every = hits.unionByName(second).unionByName(third)
-    best = every.groupBy("media_id").agg(F.min(F.struct("pass", "position", "sidecar_id")).alias("b"))
-    return best.select("media_id", "b.sidecar_id", "b.pass", "b.position")
+    exact = s.groupBy("folder", "name").agg(F.max_by("sidecar_id", "ord").alias("sidecar_id")).withColumnRenamed("name", "candidate")
+    lone = lambda key: s.groupBy("folder", key.alias("k")).agg(F.min("sidecar_id").alias("sidecar_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+    spread = lambda d: d.select("media_id", "folder", F.posexplode(candidates_udf("name", nfc(F.col("name")))).alias("position", "candidate"))
+
+    def best(hits: DataFrame) -> DataFrame:
+        return hits.groupBy("media_id").agg(F.min(F.struct("pass", "position", "sidecar_id")).alias("b")).select("media_id", "b.sidecar_id", "b.pass", "b.position")
+
+    m = media.select(F.col("id").alias("media_id"), "folder", "name")
+    first = cut(best(spread(m).join(exact, ["folder", "candidate"]).withColumn("pass", F.lit(1))), "matches")
+    # only media that the first pass leaves spread their candidates again
+    rest = spread(m.join(first.select("media_id"), "media_id", "left_anti"))
+    second = rest.withColumn("k", nfc(F.col("candidate"))).join(lone(nfc(F.col("name"))), ["folder", "k"]).withColumn("pass", F.lit(2))
+    third = rest.withColumn("k", fold_key(F.col("candidate"))).join(lone(fold_key(F.col("name"))), ["folder", "k"]).withColumn("pass", F.lit(3))
+    cols = ("media_id", "sidecar_id", "pass", "position")
+    return first.select(*cols).unionByName(best(second.select(*cols).unionByName(third.select(*cols))))
 
 
 def title_agrees(title: F.Column, name: F.Column) -> F.Column:
