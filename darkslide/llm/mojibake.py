@@ -45,7 +45,7 @@ _PAIR = "\u00a2\u00a4-\u00a9\u00ac\u00ae-\u00b6\u00b8\u00b9\u00bc-\u00be\u00d7\u
 _OPEN = "\u00a4\u00a6\u00a8\u00ac\u00af\u00b4\u00b8\u02c6\u02dc\u2020\u2021\u2030\u2122"
 ODD_PATTERN = (
     "[\u0080-\u009f\ue000-\uf8ff\u2500-\u259f]|\ufffd.|[\uff61-\uff9f]\ufffd"
-    f"|\\p{{L}}[{_SIGN}]+\\p{{L}}|[{_PAIR}]{{2}}|(?:^|[ /_])[{_OPEN}]\\p{{L}}"
+    f"|\\p{{L}}[{_SIGN}]+\\p{{L}}|[{_PAIR}]{{2}}|(?:^|[ /_])[{_OPEN}]\\p{{L}}|\\p{{Ll}}[\u00c2-\u00c5]\\p{{Ll}}"
 )
 
 
@@ -221,6 +221,7 @@ _TRIGGER = (
     "–-⁄₧€№™←-⇿∂-≥⌐⌠⌡─-◊㐀-鿿-｡-ﾟ�"
 )
 _TRIGGER_PAIRS = (
+    "[a-z\u00df-\u00ff][\u00c2-\u00c5][a-z\u00df-\u00ff]",
     "[\u0400-\u04ff][\u00a0\u00ad][A-Za-z]",
     "[Â-ôĂĹ][ ­ŒœŠšŸŽžĆćŚśŤťŹźŁłĄąŞşĽľŻżˇ˘˙˛]",
     "[Α-ωµ][À-ÿ]",
