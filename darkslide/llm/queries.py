@@ -124,5 +124,22 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p3_found, p3_shares, p6_found, p6_survivors, p7_ids, p8_mix, p8_shares, p9_found, p9_kinds, p9_stats)}
 
 
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+_P6 = f"""
+    WITH j AS (SELECT *, regexp_replace(lower(trim(sha, {_BLANK})), '^sha-?256[:=]', '') AS h0 FROM journal),
+    r AS (SELECT *, CASE WHEN regexp_matches(h0, '^[0-9a-f]{{8,64}}$') THEN h0 END AS h FROM j),
+    f AS (SELECT DISTINCT h AS full_hash FROM r WHERE length(h) = 64),
+    s AS (SELECT h, min(full_hash) AS one FROM (SELECT DISTINCT h FROM r WHERE length(h) < 64) JOIN f ON left(full_hash, 8) = left(h, 8) AND starts_with(full_hash, h) GROUP BY h HAVING count(*) = 1),
+    i AS (SELECT id, min(x) AS one FROM (SELECT id, h AS x FROM r WHERE length(h) = 64 UNION SELECT id, one FROM r JOIN s USING (h)) WHERE id IS NOT NULL GROUP BY id HAVING count(DISTINCT x) = 1),
+    many AS (SELECT h, list(full_hash) AS fulls FROM (SELECT DISTINCT h FROM r WHERE length(h) < 64) JOIN f ON left(full_hash, 8) = left(h, 8) AND starts_with(full_hash, h) GROUP BY h HAVING count(*) > 1),
+    c AS (SELECT r.*, CASE WHEN length(r.h) = 64 THEN r.h WHEN r.h IS NULL THEN i.one WHEN s.one IS NOT NULL THEN s.one WHEN list_contains(many.fulls, i.one) THEN i.one END AS content
+          FROM r LEFT JOIN s ON s.h = r.h LEFT JOIN i ON i.id = r.id LEFT JOIN many ON many.h = r.h),
+    k AS (SELECT content, rec_id, count(*) OVER (PARTITION BY content) AS n, row_number() OVER (PARTITION BY content ORDER BY
+          CAST(coalesce(trim(path, {_BLANK}) <> '', false) AS INTEGER) + CAST(coalesce(trim(year, {_BLANK}) <> '', false) AS INTEGER) + CAST(coalesce(trim(name, {_BLANK}) <> '', false) AS INTEGER)
+          + CAST(coalesce(len(list_filter(albums, lambda a: trim(a, {_BLANK}) <> '')) > 0, false) AS INTEGER) DESC, written_at DESC NULLS LAST, rec_id DESC) AS rn FROM c WHERE content IS NOT NULL)
+    SELECT content AS sha, rec_id FROM k WHERE rn = 1 AND n >= 2"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL with the same rows, where SQL can say it; the other operators are tested against brute force, round trips and inspected cases."""
+    return {"p6_found": _P6}
