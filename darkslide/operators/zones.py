@@ -25,11 +25,14 @@ def nearest_donor(asked: DataFrame, donors: DataFrame, by: list[str] | None = No
     lines = d.unionByName(q.withColumn("d", none)).withColumn("b", F.floor(F.col("t") / width))
     w = Window.partitionBy(*by, "b").orderBy("t")
     lines = lines.withColumn("before", F.last("d", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    lines = lines.withColumn("after", F.first("d", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    # what follows is taken as what precedes in the order turned round, which is one running pass
+    back = Window.partitionBy(*by, "b").orderBy(F.desc("t"))
+    lines = lines.withColumn("after", F.last("d", ignorenulls=True).over(back.rangeBetween(Window.unboundedPreceding, 0)))
     ends = lines.groupBy(*by, "b").agg(F.max("d").alias("last"), F.min("d").alias("first"))
     o = Window.partitionBy(*by).orderBy("b")
     ends = ends.withColumn("earlier", F.last("last", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, -1)))
-    ends = ends.withColumn("later", F.first("first", ignorenulls=True).over(o.rowsBetween(1, Window.unboundedFollowing))).select(*by, "b", "earlier", "later")
+    o_back = Window.partitionBy(*by).orderBy(F.desc("b"))
+    ends = ends.withColumn("later", F.last("first", ignorenulls=True).over(o_back.rowsBetween(Window.unboundedPreceding, -1))).select(*by, "b", "earlier", "later")
     found = lines.where("d is null").join(ends, [*by, "b"])
     pick = lambda x: F.when(F.abs(x["t"] - F.col("t")) <= reach, F.struct(F.abs(x["t"] - F.col("t")).alias("distance"), x["ord"].alias("ord"), x["value"].alias("value")))
     best = F.array_min(F.array_compact(F.array(pick(F.coalesce("before", "earlier")), pick(F.coalesce("after", "later")))))
