@@ -69,7 +69,8 @@ def hazards(values: DataFrame, by: list[str], reach: int = 5, rate: float = 0.00
     units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
     counted = counted.select(*by, "n", units.alias("u")).groupBy(*by, F.col("u.unit").alias("unit"), F.col("u.length").alias("length")).agg(F.sum("n").alias("n"))
     order = Window.partitionBy(*by, "unit").orderBy("length")
-    t = counted.withColumn("least", F.sum("n").over(order.rowsBetween(0, Window.unboundedFollowing)))
+    down = Window.partitionBy(*by, "unit").orderBy(F.desc("length"))
+    t = counted.withColumn("least", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)))
     t = t.withColumn("h", F.col("n") / F.col("least"))
     below, above = order.rangeBetween(-reach, -1), order.rangeBetween(1, reach)
     # absent lengths below count as hazard 0; above, a length says something only while enough values reach it
