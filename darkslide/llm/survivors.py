@@ -11,6 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from darkslide.functions.lets import let
 from darkslide.session import cut
 
 _SPACE = r"[\s\u00a0\u200b\ufeff]"
@@ -23,9 +24,11 @@ def blank(c: F.Column) -> F.Column:
 
 def hex_digits(sha: F.Column) -> F.Column:
     """The hex digits of a hash, however written: lower case, without prefix, blanks and separators; null if that is not 8 to 64 hex digits."""
+    # nearly all hashes are written plainly, and pass by one test
+    plain = (F.length(sha) == 64) & F.rlike(sha, F.lit("^[0-9a-f]{64}$"))
     s = F.regexp_replace(F.lower(sha), rf"^{_SPACE}*(?:sha-?256)?[:=]?|[\s:\-]+|(?<=^0)x", "")
     s = F.regexp_replace(s, "^0x", "")
-    return F.when(F.rlike(s, F.lit("^[0-9a-f]{8,64}$")), s)
+    return F.when(plain, sha).when(sha.isNotNull() & (sha != ""), let(s, lambda h: F.when(F.rlike(h, F.lit("^[0-9a-f]{8,64}$")), h)))
 
 
 def contents(records: DataFrame, shortest: int = 8) -> DataFrame:
