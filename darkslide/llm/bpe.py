@@ -110,29 +110,34 @@ def encode(texts: DataFrame, ranks: F.Column, chunk: int = 512, broadcast_words:
     n = F.greatest(F.lit(0), F.floor((F.size("words") - 1) / chunk)).cast("int")
     parts = split.select("id", "_key", F.explode(F.sequence(F.lit(0), n)).alias("no"), "words").select("id", "_key", "no", F.slice("words", F.col("no") * chunk + 1, F.lit(chunk)).alias("words"))
 
-    def known(ranks: F.Column, word: F.Column) -> F.Column:
-        return rank_of(ranks, as_bytes(word))
-
-    def mark(words_: F.Column, ranks: F.Column) -> F.Column:
-        return F.transform(words_, lambda w: F.struct(w.alias("w"), known(ranks, w).alias("id")))
-
-    parts = parts.withColumn("marked", let(ranks, lambda r: mark(F.col("words"), r))).drop("words")
-    unknown = F.array_distinct(F.transform(F.filter("marked", lambda m: m["id"].isNull()), lambda m: m["w"]))
-    pairs = parts.select("id", "_key", "no", F.explode(unknown).alias("word"))
+    def pack(marked: F.Column) -> F.Column:
+        """Ids of the words that are tokens, and for the others their place, counted down from -1, among the distinct others."""
+        rest = F.array_distinct(F.transform(F.filter(marked, lambda m: m["id"].isNull()), lambda m: m["w"]))
+        return let(rest, lambda rest: F.struct(F.transform(marked, lambda m: F.coalesce(m["id"], -F.array_position(rest, m["w"]).cast("int"))).alias("codes"), rest.alias("rest")))
+
+    def code(words_: F.Column, ranks: F.Column) -> F.Column:
+        return let(F.transform(words_, lambda w: F.struct(w.alias("w"), rank_of(ranks, as_bytes(w)).alias("id"))), pack)
+
+    parts = parts.select("id", "_key", "no", let(ranks, lambda r: code(F.col("words"), r)).alias("c")).select("id", "_key", "no", "c.codes", "c.rest")
+    # texts are split once; what is kept of them are numbers and the words that are no tokens
+    parts = cut(parts, "codes")
+    pairs = parts.select("id", "_key", "no", F.explode("rest").alias("word"))
     distinct = pairs.select("word").distinct().withColumn("_bytes", as_bytes(F.col("word")))
     made = cut(distinct.select("word", let(ranks, lambda r: merge(r, F.col("_bytes"))).alias("ids")), "word-ids")
     if made.limit(broadcast_words + 1).count() <= broadcast_words:
         made = F.broadcast(made)
     spelled = pairs.join(made, "word").groupBy("id", "_key", "no").agg(F.collect_list(F.struct("word", "ids")).alias("spelled"))
-    whole = parts.select("id", "_key", "no", "marked", F.lit(None).cast(spelled.schema["spelled"].dataType).alias("spelled"))
-    both = whole.unionByName(spelled.withColumn("marked", F.lit(None).cast(parts.schema["marked"].dataType)))
-    both = both.groupBy("id", "_key", "no").agg(F.max("marked").alias("marked"), F.first("spelled", ignorenulls=True).alias("spelled"))
+    whole = parts.select("id", "_key", "no", "codes", "rest", F.lit(None).cast(spelled.schema["spelled"].dataType).alias("spelled"))
+    none = lambda c: F.lit(None).cast(parts.schema[c].dataType)
+    both = whole.unionByName(spelled.withColumns({"codes": none("codes"), "rest": none("rest")}))
+    both = both.groupBy("id", "_key", "no").agg(F.max("codes").alias("codes"), F.max("rest").alias("rest"), F.first("spelled", ignorenulls=True).alias("spelled"))
 
-    def ids(lookup: F.Column) -> F.Column:
-        return F.flatten(F.transform("marked", lambda m: F.when(m["id"].isNotNull(), F.array(m["id"])).otherwise(F.try_element_at(lookup, m["w"]))))
+    def ids(made: F.Column) -> F.Column:
+        return F.flatten(F.transform("codes", lambda c: F.when(c >= 0, F.array(c)).otherwise(F.get(made, -c - 1))))
 
     empty = F.array().cast("array<struct<word:string,ids:array<int>>>")
-    both = both.select("id", "_key", "no", let(F.map_from_entries(F.coalesce("spelled", empty)), ids).alias("ids"))
+    in_order = let(F.map_from_entries(F.coalesce("spelled", empty)), lambda lookup: F.transform("rest", lambda w: F.try_element_at(lookup, w)))
+    both = both.select("id", "_key", "no", let(in_order, ids).alias("ids"))
     out = both.groupBy("id", "_key").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     return out.select("id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
