@@ -23,6 +23,8 @@ WHOLE_NAMES = ("metadata", "shared_album_comments", "user-generated-memory-title
 
 _EXT = r"(?i)\.(?:" + "|".join(sorted(EXTENSIONS, key=lambda e: (-len(e), e))) + r")"
 _NUMBER = r"(?:\(\d+\))?"
+_SPACE = r"\p{Z}\s"
+_NO_SPACES = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30fc\p{IsThai}"
 _MARK = "(?:\\.{2,3}|\\u2026|\\ufffd|~\\d*)$"
 
 
@@ -51,19 +53,26 @@ def shape(text: F.Column, sidecar_name: F.Column) -> F.Column:
 
 
 def ending(text: F.Column) -> F.Column:
-    """The last word of a value without extension, number and mark, digits written as 0; a value that ends in a space has the empty word."""
+    """The last word of a value without extension, number and mark, digits written as 0; a value that ends in a space has the empty word. Scripts written without spaces have their last two characters as a word."""
     stem = F.regexp_replace(text, f"{_EXT}{_NUMBER}(?:\\.{TAIL})?{_NUMBER}$|{_NUMBER}$|{_MARK}", "")
-    return F.translate(F.regexp_extract(stem, r"([^ ]*)$", 1), "123456789", "000000000")
+    return F.translate(F.regexp_extract(stem, f"([{_NO_SPACES}]{{1,2}}|[^{_SPACE}{_NO_SPACES}]*)$", 1), "123456789", "000000000")
 
 
-def hazards(values: DataFrame, by: list[str], reach: int = 5, rate: float = 0.001, least_hazard: float = 0.2) -> DataFrame:
-    """(by..., unit, length, n, excess): lengths at which values of a group stop too often to be chance.
+def inner_words(text: F.Column) -> F.Column:
+    """The words of a value before its last space, digits written as 0."""
+    head = F.regexp_extract(text, f"^(.*)[{_SPACE}]", 1)
+    return F.filter(F.split(F.translate(head, "123456789", "000000000"), f"[{_SPACE}]+"), lambda w: w != "")
+
+
+def hazards(values: DataFrame, by: list[str], reach: int = 5, rate: float = 0.001, also: F.Column | None = None) -> DataFrame:
+    """(by..., unit, length, n, known, excess): lengths at which values of a group stop too often to be chance.
 
     values: the columns named in by, with chars and bytes. The hazard of a length is n(length) / n(at least
     length). Its neighbours are the lengths within reach on either side; the median of their hazards is what is
-    expected. A limit stops most of what reaches it, so hazards under least_hazard are no limit. The p-value is the Chernoff bound of the binomial tail; the false
-    discoveries among all tests are held at rate by the step-up rule. excess is the share of the values at the
-    length beyond the expected. One row per group and length is all that windows and ranks see.
+    expected. The p-value is the Chernoff bound of the binomial tail; the false discoveries among all tests are held
+    at rate by the step-up rule. excess is the share of the values at the length beyond the expected. also: groups
+    that keep every length above the expected, known telling which pass. One row per group and length is all that
+    windows and ranks see.
     """
     counted = values.groupBy(*by, "chars", "bytes").agg(F.count("*").alias("n"))
     units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
@@ -76,9 +85,13 @@ def hazards(values: DataFrame, by: list[str], reach: int = 5, rate: float = 0.00
     # absent lengths below count as hazard 0; above, a length says something only while enough values reach it
     gaps = F.transform(F.filter(F.sequence(F.lit(1), F.lit(reach)), lambda i: i > F.size(F.collect_list("h").over(below))), lambda i: F.lit(0.0))
     near = F.array_sort(F.concat(gaps, F.collect_list("h").over(below), F.collect_list(F.when(F.col("least") >= 20, F.col("h"))).over(above)))
-    t = t.withColumn("near", near)
+    t = t.withColumn("near", near).withColumn("above", F.collect_list(F.when(F.col("least") >= 20, F.col("h"))).over(above))
     expected = (F.get("near", F.floor((F.size("near") - 1) / 2).cast("int")) + F.get("near", F.floor(F.size("near") / 2).cast("int"))) / 2
     t = t.withColumn("expected", F.greatest(expected, F.lit(0.5) / F.col("least")))
+    # the shortest values have nothing below to compare with: where most go on, at least what is usual above is expected
+    onward = F.coalesce(F.sum("n").over(order.rangeBetween(reach + 1, Window.unboundedFollowing)), F.lit(0))
+    first = (F.size(F.collect_list("h").over(order.rangeBetween(Window.unboundedPreceding, -1))) == 0) & (2 * onward >= F.col("least"))
+    t = t.withColumn("expected", F.when(first, F.greatest("expected", F.array_min("above"))).otherwise(F.col("expected")))
     h, e = F.least(F.col("h"), F.lit(1 - 1e-12)), F.least(F.col("expected"), F.lit(1 - 1e-9))
     log_p = -F.col("least") * (h * F.log(h / e) + (1 - h) * F.log((1 - h) / (1 - e)))
     t = t.withColumn("log_p", F.when(F.col("h") > F.col("expected"), log_p).otherwise(0.0))
@@ -86,23 +99,26 @@ def hazards(values: DataFrame, by: list[str], reach: int = 5, rate: float = 0.00
     t = t.withColumn("rank", F.row_number().over(ranked)).withColumn("tests", F.count("*").over(Window.partitionBy()))
     passed = F.col("log_p") <= F.log(F.lit(rate) * F.col("rank") / F.col("tests"))
     t = t.withColumn("last", F.max(F.when(passed, F.col("rank"))).over(Window.partitionBy()))
-    return t.where((F.col("rank") <= F.col("last")) & (F.col("n") >= 5) & (F.col("h") >= least_hazard)).select(*by, "unit", "length", "n", (1 - F.col("expected") / F.col("h")).alias("excess"))
+    known = F.col("rank") <= F.col("last")
+    kept = t.where(known) if also is None else t.where(known | (also & (F.col("h") > F.col("expected"))))
+    return kept.select(*by, "unit", "length", "n", F.coalesce(known, F.lit(False)).alias("known"), (1 - F.col("expected") / F.col("h")).alias("excess"))
 
 
 # chances of an ending that looks whole, after a cut and without one
 _WHOLE_IF_CUT, _WHOLE_IF_NOT = 0.25, 0.98
+_NO_SOURCE = "\u0000"
 
 
-def find(values: DataFrame, min_ends: int = 3, least_broken: float = 0.3, broadcast_rows: int = 100_000) -> DataFrame:
+def find(values: DataFrame, least_share: float = 0.05, least_broken: float = 0.3, broadcast_rows: int = 100_000) -> DataFrame:
     """(rec_id, field, source, is_cut) for every value.
 
     values: rec_id, field, source, text, sidecar_name (boolean), sibling: a longer form of the same text where
     there is one, else null. Other columns are ignored. Null and empty texts are never cut; a null source is a
-    source of its own. A file name without a whole extension is cut; a title without one may be whole. A length
+    source of its own, to which the limits of named sources apply too. A file name without a whole extension is cut; a title without one may be whole. A length
     counts as a limit only if at least least_broken of the values there end in words with which whole values do not.
     """
     text, sib = F.col("text"), F.col("sibling")
-    kept = values.select("rec_id", "field", F.coalesce(F.col("source"), F.lit("\u0000")).alias("source"), "text", "sidecar_name", "sibling")
+    kept = values.select("rec_id", "field", F.coalesce(F.col("source"), F.lit(_NO_SOURCE)).alias("source"), "text", "sidecar_name", "sibling")
     state = F.when(text.isNotNull() & (text != ""), shape(text, F.col("sidecar_name")))
     # the exact check: the sibling goes on after the value, or stops there but for the extension
     after = F.when(F.startswith(sib, text), F.substring(sib, F.length(text) + 1, F.lit(1_000_000)))
@@ -116,23 +132,42 @@ def find(values: DataFrame, min_ends: int = 3, least_broken: float = 0.3, broadc
     base = cut(base, "endings")
     by = ["field", "source", "state"]
     # numbered names have few lengths by nature, and a sidecar's name that ends in an extension has lost nothing
-    lengths = hazards(base.where("state <> 'fixed' and not ((numbered or sidecar_name) and state = 'ext')"), by)
+    lengths = hazards(base.where("state <> 'fixed' and not ((numbered or sidecar_name) and state = 'ext')"), by, also=F.col("source") == _NO_SOURCE)
+    # values without source come from any uploader: a limit of a named source of the same field holds for them too,
+    # even where too few reach it to show it by themselves
+    same = ["field", "state", "unit", "length"]
+    named = lengths.where((F.col("source") != _NO_SOURCE) & F.col("known")).select(*same).distinct().withColumn("inherited", F.lit(True))
+    lengths = lengths.join(named, same, "left").where("known or inherited").drop("inherited")
     lengths = cut(lengths, "lengths")
     few = lengths.limit(broadcast_rows + 1).count() <= broadcast_rows
     side = lambda unit: (F.broadcast if few else (lambda d: d))(lengths.where(F.col("unit") == unit).select(*by, F.col("length").alias(unit), F.col("excess").alias(f"x_{unit}")))
     judged = base.join(side("chars"), [*by, "chars"], "left").join(side("bytes"), [*by, "bytes"], "left")
     excess = F.greatest(F.coalesce("x_chars", F.lit(0.0)), F.coalesce("x_bytes", F.lit(0.0)))
     judged = judged.withColumn("excess", F.when((F.col("state") == "ext") & (F.col("numbered") | F.col("sidecar_name")), 0.0).otherwise(excess))
-    ends = judged.where("state = 'ext' and excess = 0").groupBy("word").agg(F.count("*").alias("ends")).where(F.col("ends") >= min_ends)
+    # a word ends whole values if a share of all its occurrences does so; a count would grow with the corpus
+    inside = kept.where("text <> ''").select(F.explode(inner_words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("inside"))
+    unit = F.when(F.coalesce("x_chars", F.lit(0.0)) >= F.coalesce("x_bytes", F.lit(0.0)), "chars").otherwise("bytes")
+    judged = judged.withColumn("unit", F.when(F.col("excess") > 0, unit)).withColumn("length", F.when(F.col("unit") == "chars", F.col("chars")).when(F.col("unit") == "bytes", F.col("bytes")))
+    counts = cut(judged.where("state is not null").groupBy("word", *by, "unit", "length").agg(F.count("*").alias("n"), F.sum(F.when(F.col("excess") > 0, 1).otherwise(0)).alias("at")), "ends")
+    words = cut(counts.groupBy("word").agg(F.sum("n").alias("last")).join(inside, "word", "left").select("word", (F.col("last") + F.coalesce("inside", F.lit(0))).alias("all")), "words")
+    # where names just happen to have one length, the words there end values of other lengths as well; a limit breaks many of them
+    ext = F.col("state") == "ext"
+    spots = counts.groupBy("word").agg(F.sum(F.when(ext, F.col("n")).otherwise(0)).alias("ends")).join(words, "word")
+    own = counts.where(ext & (F.col("at") > 0)).groupBy("word", "unit", "length").agg(F.sum("n").alias("own"))
+    broken = counts.where("at > 0").join(spots, "word").join(own, ["word", "unit", "length"], "left")
+    elsewhere = F.col("ends") - F.coalesce("own", F.lit(0))
+    fragment = (F.col("word") == "") | (elsewhere < least_share * F.col("all")) | (elsewhere == 0)
+    broken = broken.groupBy(*by, "unit", "length").agg((F.sum(F.when(fragment, F.col("at")).otherwise(0)) / F.sum("at")).alias("broken"))
+    broken = cut(broken.where(F.col("broken") >= least_broken).join(lengths.select(*by, "unit", "length", "known"), [*by, "unit", "length"]), "limits")
+    confirmed = broken.where(F.col("known") & (F.col("source") != _NO_SOURCE)).select(*same).distinct().withColumn("inherited", F.lit(True))
+    broken = broken.join(confirmed, same, "left").where("known or inherited").select(*by, "unit", "length", "broken")
+    limits = F.broadcast(broken) if few else broken
+    ends = counts.where(ext).join(limits, [*by, "unit", "length"], "left_anti").groupBy("word").agg(F.sum("n").alias("ends"))
+    ends = ends.join(words, "word").where(F.col("ends") >= least_share * F.col("all")).select("word", "ends")
     asked = judged.where("state in ('bare', 'part', 'mark') or excess > 0")
     # few values are asked about, and the words they end in are counted before they are joined
     asked = asked.join(ends, "word", "left").withColumn("whole", F.col("ends").isNotNull() & (F.col("word") != ""))
-    # where names just happen to have one length, their endings are whole; a limit breaks many of them
-    asked = asked.withColumns({"unit": F.when(F.coalesce("x_chars", F.lit(0.0)) >= F.coalesce("x_bytes", F.lit(0.0)), "chars").otherwise("bytes")})
-    asked = asked.withColumn("length", F.when(F.col("unit") == "chars", F.col("chars")).otherwise(F.col("bytes")))
-    broken = asked.where("excess > 0").groupBy(*by, "unit", "length").agg(F.avg((~F.col("whole")).cast("double")).alias("broken"))
-    broken = broken.where(F.col("broken") >= least_broken)
-    asked = asked.join(F.broadcast(broken) if few else broken, [*by, "unit", "length"], "left")
+    asked = asked.join(limits, [*by, "unit", "length"], "left")
     asked = asked.withColumn("excess", F.when(F.col("broken").isNotNull(), F.col("excess")).otherwise(0.0))
     like_cut = F.when(F.col("whole"), _WHOLE_IF_CUT).otherwise(1 - _WHOLE_IF_CUT)
     like_not = F.when(F.col("whole"), _WHOLE_IF_NOT).otherwise(1 - _WHOLE_IF_NOT)
@@ -146,7 +181,7 @@ def find(values: DataFrame, min_ends: int = 3, least_broken: float = 0.3, broadc
         .otherwise(F.col("state").isin("bare", "mark") & ~F.col("whole"))
     )
     found = asked.where(is_cut).select("rec_id", "field", "source")
-    return found.withColumn("source", F.nullif("source", F.lit("\u0000")))
+    return found.withColumn("source", F.nullif("source", F.lit(_NO_SOURCE)))
 
 
 def totals(values: DataFrame) -> DataFrame:

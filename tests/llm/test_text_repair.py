@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,20 @@ def test_hazard_is_found_at_the_limit_only(spark):
     rows = [("a", n, n) for n in range(5, 90) for _ in range(max(1, int(400 * 0.92 ** (n - 5))) if n != 40 else 2500)]
     got = truncation.hazards(spark.createDataFrame(rows, "g string, chars int, bytes int"), ["g"]).collect()
     assert {r.length for r in got} == {40} and all(r.excess > 0.8 for r in got)
+
+
+def test_limit_of_a_mixed_source_with_a_small_hazard(spark):
+    r = random.Random(1)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(60)]
+    long = [" ".join(r.choice(vocabulary) for _ in range(r.randint(2, 14))) for _ in range(3000)]
+    lost = [t for t in long if len(t) > 50 and t[38] != " "][:60]
+    rows = [(i, "name", None, t + ".jpg", False, None) for i, t in enumerate(long)] + [(5000 + i, "name", None, t[:39] + ".jpg", False, None) for i, t in enumerate(lost)]
+    found = {x.rec_id for x in truncation.find(spark.createDataFrame(rows, S)).collect()}
+    broken = {5000 + i for i, t in enumerate(lost) if t[:39].rsplit(" ", 1)[-1] not in vocabulary}
+    assert len(broken) > 30 and broken <= found and len([i for i in found if i < 5000]) <= 3
+
+
+def test_endings_of_scripts_without_spaces(spark):
+    cases = {"花火 橋の下で.jpg": "下で", "Fotos\u3000家族と.png": "族と", "old har": "har", "en .jpg": "", "IMG_12.jpg": "IMG_00"}
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    assert {r.v: r.w for r in df.select("v", truncation.ending(F.col("v")).alias("w")).collect()} == cases
