@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from darkslide.functions import folders, kinds, text
 from darkslide.operators import dating, dedup, ledger, pairs, placing, report, sidecars, zones
 from darkslide.session import cut
+from darkslide.sources import archives
 
 
 @dataclass(frozen=True)
@@ -43,6 +44,16 @@ def with_roots(index: DataFrame) -> DataFrame:
     return e.withColumns({"class": folders.folder_class(F.col("folder")), "id": F.concat_ws("#", "zip_path", F.col("entry_ord").cast("string"))})
 
 
+def with_groups(media: DataFrame) -> DataFrame:
+    """media with group_id: size and CRC, and where contents differ that share both, 12 digits of the hash for all but the least. Only files that share both are read."""
+    shared = media.groupBy("size", "crc32").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    read = cut(archives.hashes(media.join(shared, ["size", "crc32"], "left_semi")), "hashes")
+    grouped = dedup.confirmed_groups(media.join(read, "id", "left"), ["size", "crc32"], F.col("content_hash"), "ord")
+    plain = F.format_string("%d:%08x", "size", "crc32")
+    split = F.concat_ws(":", plain, F.substring(F.ltrim(F.col("content_hash"), F.lit("~")), 1, 12))
+    return grouped.withColumn("group_id", F.when(F.col("group_rank") == 1, plain).otherwise(split)).drop("content_hash", "members", "group_ord", "group_rank")
+
+
 def plan(index: DataFrame, bodies: DataFrame, options: Options) -> Plan:
     """index: rows of the archives source in its directory mode; bodies: rows of its content mode for the sidecars."""
     now = F.lit(options.now)
@@ -55,15 +66,14 @@ def plan(index: DataFrame, bodies: DataFrame, options: Options) -> Plan:
     asked = media if options.include_trash else media.where("class <> 'trash'")
     matches = sidecars.match(asked, side)
     matches = cut(matches, "matches")
-    members = media.join(matches.select(F.col("media_id").alias("id"), "sidecar_id"), "id", "left").join(side.select(F.col("id").alias("sidecar_id"), "sc"), "sidecar_id", "left")
+    members = cut(with_groups(media), "members").join(matches.select(F.col("media_id").alias("id"), "sidecar_id"), "id", "left").join(side.select(F.col("id").alias("sidecar_id"), "sc"), "sidecar_id", "left")
     score = dedup.canonical_score(F.col("folder"))
     first = F.struct(score.alias("score"), "ord")
     has = F.col("sc").isNotNull()
-    g = members.groupBy("size", "crc32").agg(
+    g = members.groupBy("group_id", "size", "crc32").agg(
         F.count("*").alias("n_members"), F.min("ord").alias("ord"), F.min_by(F.struct("id", "folder", "name", "class"), first).alias("canon"),
         F.coalesce(F.min_by("sc", F.when(has, first)), F.min_by("sc", F.when(has, F.col("ord")))).alias("sc"),
     )
-    g = g.withColumn("group_id", F.format_string("%d:%08x", "size", "crc32"))
     none = F.lit(None).cast("bigint")
     when = dating.resolve(dating.from_sidecar(F.col("sc.taken"), F.col("sc.creation"), none, none, none, now), F.lit(None).cast(dating.WHEN), dating.from_name(F.col("canon.name"), now))
     g = g.withColumn("w", when).withColumn("kind", kinds.ext_kind(F.col("canon.name")))
@@ -80,8 +90,8 @@ def plan(index: DataFrame, bodies: DataFrame, options: Options) -> Plan:
     groups = cut(dated.withColumn("fate", fate), "plan")
     where = placing.directory(F.lit(False), F.col("not_importable"), F.col("year"), F.col("kind"))
     placed = placing.number_names(groups.where("not skip").select(F.col("group_id").alias("id"), where.alias("dir"), F.col("canon.name").alias("name"), "ord"))
-    keys = groups.select("size", F.col("fate").alias("group_fate"), "group_id")
-    own = members.withColumn("group_id", F.format_string("%d:%08x", "size", "crc32")).join(keys.drop("size"), "group_id")
+    keys = groups.select(F.col("fate").alias("group_fate"), "group_id")
+    own = members.join(keys, "group_id")
     fates = ledger.entry_fates(e, own.select("id", ledger.member_fate(F.col("group_fate"), F.col("class"), options.include_trash).alias("fate")))
     rolled = report.rollup(groups.where("not skip"), {"formats": F.col("kind"), "years": F.col("year"), "date_sources": F.col("source"), "timezone_steps": F.col("tz_step")})
     counts = report.rollup(fates, {"fates": F.col("fate")})

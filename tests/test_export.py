@@ -1,6 +1,7 @@
 import json
 import os
 import zipfile
+import zlib
 from types import SimpleNamespace
 
 import pytest
@@ -108,3 +109,23 @@ def test_journal_stream_keeps_the_latest(spark, tmp_path):
     (src / "b.jsonl").write_text('{"id":"a","stage":"cloned"}\n{"torn\n')
     journal_stream.keep_latest(journal_stream.lines(spark, str(src)), out, check).awaitTermination()
     assert {r.id: r.stage for r in journal_stream.current(spark, out).collect()} == {"a": "cloned", "b": "placed"}
+
+
+def test_contents_that_share_size_and_crc_are_two_groups(spark, tmp_path):
+    # CRC-32 is linear: the generator polynomial, shifted into the body, leaves the CRC as it is
+    zero = bytes(16)
+    twin = bytearray(zero)
+    twin[4:9] = ((0x104C11DB7 << 7).to_bytes(5, "big")[i] for i in range(5))
+    twin = bytes(int(f"{b:08b}"[::-1], 2) for b in twin)
+    assert zlib.crc32(zero) == zlib.crc32(twin) and zero != twin
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        for name, body in {"a.jpg": zero, "b.jpg": twin, "c.jpg": twin}.items():
+            z.writestr(f"{BASE}Photos from 2019/{name}", body)
+    spark.dataSource.register(ArchiveSource)
+    read = lambda mode: spark.read.format("archives").option("path", str(tmp_path)).option("mode", mode).load()
+    p = plan(read("index"), read("content").where("entry_name like '%.json'"), Options(NOW))
+    groups = {r.canon.name: r for r in p.groups.collect()}
+    assert {k: r.n_members for k, r in groups.items()} == {"a.jpg": 1, "b.jpg": 2}
+    first, second = sorted(groups.values(), key=lambda r: len(r.group_id))
+    assert second.group_id.startswith(first.group_id + ":") and len(second.group_id) == len(first.group_id) + 13
+    assert sorted(r.base for r in p.placement.collect()) == ["a.jpg", "b.jpg"]
