@@ -213,9 +213,38 @@ def repair(s: str | None) -> tuple[bool, str | None, str]:
 _ODD = regex.compile(ODD_PATTERN)
 
 
-# Characters without which no value can be garbled, as one class and a few pairs: every repair needs a sign, a
-# control, a lost character, or letters side by side that no plain word has. Kept to single classes, so that the
-# test costs little on the values that are plain, which are nearly all.
+def _char_class(chars) -> str:
+    points = sorted({ord(c) for c in chars})
+    out, i = [], 0
+    while i < len(points):
+        j = i
+        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
+            j += 1
+        out.append(f"\\x{{{points[i]:x}}}" + (f"-\\x{{{points[j]:x}}}" if j > i else ""))
+        i = j + 1
+    return "[" + "".join(out) + "]"
+
+
+@lru_cache(maxsize=None)
+def suspicion_pattern() -> str:
+    """A regular expression (Java) that holds for every value repair() could change: the automaton over characters.
+
+    For one-byte encodings it spells the lead and continuation classes; for two-byte encodings it asks for
+    ideographs or halfwidth letters, which hold their bytes.
+    """
+    parts = [ODD_PATTERN]
+    for codec in SINGLE:
+        m = byte_map(codec)
+        cls = lambda lo, hi, m=m: _char_class(c for c, b in m.items() if lo <= b[0] <= hi)
+        cont = cls(0x80, 0xBF)
+        parts += [cls(0xC2, 0xDF) + cont, cls(0xE0, 0xEF) + cont + "{2}", cls(0xF0, 0xF4) + cont + "{3}"]
+    # two-byte encodings write lead bytes as ideographs or halfwidth letters
+    parts.append("[\\u3400-\\u9fff\\uff61-\\uff9f]")
+    return "|".join(parts)
+
+
+# Frequent signs of garbling, tried before the exact pattern, as one class and a few pairs. Values without them still meet
+# the pattern derived from the tables.
 _TRIGGER = (
     "\u0080-\u009f¡-¬®-¿×÷ƒˆ˜ЂЃЅЉ-ЌЏђѓѕљ-ќџ"
     "–-⁄₧€№™←-⇿∂-≥⌐⌠⌡─-◊㐀-鿿-｡-ﾟ�"
@@ -232,7 +261,7 @@ _TRIGGER_PAIRS = (
 
 def suspicious(col: F.Column) -> F.Column:
     """True where a value may be garbled; false values need no Python."""
-    return F.coalesce(F.rlike(col, F.lit(f"[{_TRIGGER}]|" + "|".join(_TRIGGER_PAIRS))), F.lit(False))
+    return F.coalesce(F.rlike(col, F.lit("[^\\x00-\\x7f]")) & (F.rlike(col, F.lit(f"[{_TRIGGER}]|" + "|".join(_TRIGGER_PAIRS))) | F.rlike(col, F.lit(suspicion_pattern()))), F.lit(False))
 
 
 REPAIR_SCHEMA = T.StructType([T.StructField("garbled", T.BooleanType()), T.StructField("fixed", T.StringType()), T.StructField("path", T.StringType())])

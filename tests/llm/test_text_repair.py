@@ -50,6 +50,12 @@ def test_prefilter_misses_nothing(spark):
     assert found.count() == 0
 
 
+def test_prefilter_knows_every_lead_and_continuation(spark):
+    bad = ["2019 ÔÇô 2020", "OÔÇÖBrien", "cafeÃÅ"]
+    bad += [x for c in ("cp1252", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "cp866", "koi8_r") for o in [*range(0x80, 0x180), *range(0x300, 0x530), *range(0x2010, 0x2045), *range(0x1F300, 0x1F650)] if "\ufffd" not in (x := f"a{chr(o)}b".encode().decode(c, "replace")) and mojibake.repair(x)[0]]
+    assert len(bad) > 1000 and spark.createDataFrame([(b,) for b in bad], "v string").where(~mojibake.suspicious(F.col("v"))).count() == 0
+
+
 def test_ordinary_forms():
     cases = {"Ｆｏｔｏｓ　２０": "Fotos 20", "Fo­to​s": "Fotos", "Café": "Café", "𝖥𝗈𝗍𝗈": "Foto", "a‑b": "a-b", "KK": "KK", "ﾃﾞｰﾀ": "データ", "می‌رویم": "می‌رویم", "👨‍👩": "👨‍👩", "wee‍k": "week", "❤️": "❤️", "x²½…№": "x²½…№"}
     assert {k: lookalike.ordinary(k) for k in cases} == cases
