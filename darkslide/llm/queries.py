@@ -46,6 +46,11 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return truncation.find(_texts(spark, root)).select("field", "rec_id")
 
 
+def p3_cuts(spark: SparkSession, root: str) -> DataFrame:
+    """The cut values with what tells them: the length's test, the chance of a limit there, the source's broken transfers, the posterior, and the sibling's word."""
+    return truncation.find(_texts(spark, root)).withColumnRenamed("source", "origin")
+
+
 def p3_shares(spark: SparkSession, root: str) -> DataFrame:
     """Share of cut values per field and origin."""
     texts = _texts(spark, root)
@@ -121,7 +126,7 @@ def p9_stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p3_found, p3_shares, p6_found, p6_survivors, p7_ids, p8_mix, p8_shares, p9_found, p9_kinds, p9_stats)}
+    return {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_forms, p3_found, p3_cuts, p3_shares, p6_found, p6_survivors, p7_ids, p8_mix, p8_shares, p9_found, p9_kinds, p9_stats)}
 
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"

@@ -3,8 +3,8 @@
 A field with a limit shows in its lengths. Among the values of a source that reach a length, the share that
 stop there is the hazard of that length; each hazard is tested against the hazards of the lengths around it,
 with the false-discovery rate held over all tests. At a significant length the excess over the neighbours is
-the chance that a value was cut there, and the look of its ending decides: a part of an extension, a mark, or
-a last word with which uncut values do not end. Away from such lengths only a plainly incomplete ending counts.
+the chance that a value was cut there. Transfers that break off stop anywhere: their share is a weight of a
+mixture, told by the endings of a source's values. One posterior weighs limit, broken transfer and natural end.
 """
 
 from __future__ import annotations
@@ -64,15 +64,17 @@ def inner_words(text: F.Column) -> F.Column:
     return F.filter(F.split(F.translate(head, "123456789", "000000000"), f"[{_SPACE}]+"), lambda w: w != "")
 
 
-def hazards(values: DataFrame, by: list[str], reach: int = 5, rate: float = 0.001, also: F.Column | None = None) -> DataFrame:
-    """(by..., unit, length, n, known, excess): lengths at which values of a group stop too often to be chance.
+def length_tests(values: DataFrame, by: list[str], reach: int = 5, grid: float = 0.01) -> DataFrame:
+    """(by..., unit, length, n, excess, q): every length at which values of a group stop, tested against the lengths around it.
 
     values: the columns named in by, with chars and bytes. The hazard of a length is n(length) / n(at least
     length). Its neighbours are the lengths within reach on either side; the median of their hazards is what is
-    expected. The p-value is the Chernoff bound of the binomial tail; the false discoveries among all tests are held
-    at rate by the step-up rule. excess is the share of the values at the length beyond the expected. also: groups
-    that keep every length above the expected, known telling which pass. One row per group and length is all that
-    windows and ranks see.
+    expected. The p-value is the Chernoff bound of the binomial tail. q is the least false-discovery rate at which
+    the step-up rule over all tests accepts the length. excess is the share of the values at the length beyond the
+    expected, 0 where there are none.
+
+    Windows see one row per group and length. The one ranking over all groups sees p-values rounded up to a grid of
+    logarithms, so its lines are bounded (70,000) however many groups there are.
     """
     counted = values.groupBy(*by, "chars", "bytes").agg(F.count("*").alias("n"))
     units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
@@ -94,61 +96,114 @@ def hazards(values: DataFrame, by: list[str], reach: int = 5, rate: float = 0.00
     t = t.withColumn("expected", F.when(first, F.greatest("expected", F.array_min("above"))).otherwise(F.col("expected")))
     h, e = F.least(F.col("h"), F.lit(1 - 1e-12)), F.least(F.col("expected"), F.lit(1 - 1e-9))
     log_p = -F.col("least") * (h * F.log(h / e) + (1 - h) * F.log((1 - h) / (1 - e)))
-    t = t.withColumn("log_p", F.when(F.col("h") > F.col("expected"), log_p).otherwise(0.0))
-    ranked = Window.orderBy("log_p")
-    t = t.withColumn("rank", F.row_number().over(ranked)).withColumn("tests", F.count("*").over(Window.partitionBy()))
-    passed = F.col("log_p") <= F.log(F.lit(rate) * F.col("rank") / F.col("tests"))
-    t = t.withColumn("last", F.max(F.when(passed, F.col("rank"))).over(Window.partitionBy()))
-    known = F.col("rank") <= F.col("last")
-    kept = t.where(known) if also is None else t.where(known | (also & (F.col("h") > F.col("expected"))))
-    return kept.select(*by, "unit", "length", "n", F.coalesce(known, F.lit(False)).alias("known"), (1 - F.col("expected") / F.col("h")).alias("excess"))
-
-
-# chances of an ending that looks whole, after a cut and without one
-_WHOLE_IF_CUT, _WHOLE_IF_NOT = 0.25, 0.98
+    more = F.col("h") > F.col("expected")
+    t = t.withColumn("bin", F.ceil(F.greatest(F.when(more, log_p).otherwise(0.0), F.lit(-700.0)) / grid).cast("int"))
+    t = cut(t.select(*by, "unit", "length", "n", "bin", F.when(more, 1 - F.col("expected") / F.col("h")).otherwise(0.0).alias("excess")), "lengths")
+    bins = t.groupBy("bin").agg(F.count("*").alias("k"))
+    rank = F.sum("k").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    bins = bins.withColumn("log_q", F.col("bin") * grid + F.log(F.sum("k").over(Window.partitionBy()) / rank))
+    q = F.exp(F.least(F.lit(0.0), F.min("log_q").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0))))
+    return t.join(F.broadcast(bins.select("bin", q.alias("q"))), "bin").drop("bin")
+
+
+def hazards(values: DataFrame, by: list[str], reach: int = 5, rate: float = 0.001) -> DataFrame:
+    """(by..., unit, length, n, excess, q) of the lengths at which values of a group stop too often to be chance, with the false discoveries among all tests held at rate."""
+    return length_tests(values, by, reach).where(F.col("q") <= rate)
+
+
+# Chances of an ending, by (state, whether the last word ends whole values): of values that were cut, and of whole
+# ones of each field. A file name as such has an extension; a title may lack it.
+_IF_CUT = {("ext", True): 0.02, ("ext", False): 0.08, ("bare", True): 0.15, ("bare", False): 0.45, ("part", True): 0.1, ("part", False): 0.1, ("mark", True): 0.04, ("mark", False): 0.06}
+_IF_WHOLE = {
+    "name": {("ext", True): 0.97, ("ext", False): 0.03, ("bare", True): 1e-6, ("bare", False): 1e-6, ("part", True): 1e-6, ("part", False): 1e-6, ("mark", True): 1e-6, ("mark", False): 1e-6},
+    "title": {("ext", True): 0.96, ("ext", False): 0.03, ("bare", True): 0.01, ("bare", False): 2e-5, ("part", True): 1e-6, ("part", False): 1e-6, ("mark", True): 5e-4, ("mark", False): 2e-5},
+}
+# chance of a whole last word of a whole value, and the least of a value cut at a limit
+_WORD_IF_WHOLE, _LEAST_WORD = 0.98, 0.02
 _NO_SOURCE = "\u0000"
 
 
-def find(values: DataFrame, least_share: float = 0.05, least_broken: float = 0.3, broadcast_rows: int = 100_000) -> DataFrame:
-    """(rec_id, field, source, is_cut) for every value.
+def _by_class(table: dict[tuple[str, bool], float], state: F.Column, whole: F.Column) -> F.Column:
+    out = F.when(F.lit(False), F.lit(0.0))
+    for (s, w), p in table.items():
+        out = out.when((state == s) & (whole == F.lit(w)), p)
+    return out
+
+
+def _chances(field: F.Column, state: F.Column, whole: F.Column) -> tuple[F.Column, F.Column]:
+    """(chance of the ending of a cut value, of a whole one); fields but `title` are those of file names."""
+    uncut = F.when(field == "title", _by_class(_IF_WHOLE["title"], state, whole)).otherwise(_by_class(_IF_WHOLE["name"], state, whole))
+    return _by_class(_IF_CUT, state, whole), uncut
+
+
+def broken_transfers(classes: DataFrame, rounds: int = 100) -> DataFrame:
+    """(field, source, background): the share of values that were cut at no limit, as transfers that break off anywhere leave them.
+
+    classes: field, source, state, whole, n: how many values away from limits have each ending. The share is the
+    weight of a two-part mixture with known chances of endings, by expectation-maximisation from 1 %; its likelihood
+    has one maximum. A source is one line of at most eight numbers.
+    """
+    l1, l0 = _chances(F.col("field"), F.col("state"), F.col("whole"))
+    each = classes.groupBy("field", "source").agg(F.collect_list(F.struct(F.col("n").cast("double").alias("n"), l1.alias("l1"), l0.alias("l0"))).alias("c"))
+    total = F.aggregate("c", F.lit(0.0), lambda a, x: a + x["n"])
+    step = lambda b, _: F.aggregate("c", F.lit(0.0), lambda a, x: a + x["n"] * b * x["l1"] / (b * x["l1"] + (1 - b) * x["l0"])) / total
+    return each.select("field", "source", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.01), step).alias("background"))
+
+
+def judge(values: DataFrame, rate: float = 0.001, least_share: float = 0.05, least_broken: float = 0.3, broadcast_rows: int = 100_000) -> DataFrame:
+    """(rec_id, field, source, unit, length, q, excess, background, posterior, evidence, is_cut) of every value that may be cut.
 
     values: rec_id, field, source, text, sidecar_name (boolean), sibling: a longer form of the same text where
     there is one, else null. Other columns are ignored. Null and empty texts are never cut; a null source is a
-    source of its own, to which the limits of named sources apply too. A file name without a whole extension is cut; a title without one may be whole. A length
-    counts as a limit only if at least least_broken of the values there end in words with which whole values do not.
+    source of its own, to which the limits of named sources apply too. Values with a whole extension at no limit
+    have no line.
+
+    A value stopped at its length for one of three reasons: the limit there, with the chance `excess` of a
+    significant length (0 elsewhere); a transfer that broke off, which the source's `background` tells from the
+    endings of its values away from limits; or its end. The posterior weighs them by the ending: whether it has an
+    extension, whole or in part, or a mark, and whether its last word is one with which whole values end. A length
+    counts as a limit only if at least least_broken of the values there end in other words. q is that of the
+    length's test in the unit that tells more. The exact check follows: a sibling that goes on (`on`) or stops there
+    too (`whole`) overrules the posterior.
     """
     text, sib = F.col("text"), F.col("sibling")
     kept = values.select("rec_id", "field", F.coalesce(F.col("source"), F.lit(_NO_SOURCE)).alias("source"), "text", "sidecar_name", "sibling")
     state = F.when(text.isNotNull() & (text != ""), shape(text, F.col("sidecar_name")))
-    # the exact check: the sibling goes on after the value, or stops there but for the extension
-    after = F.when(F.startswith(sib, text), F.substring(sib, F.length(text) + 1, F.lit(1_000_000)))
+    after = F.when(F.startswith(sib, text), F.substring(sib, F.length(text) + 1, F.lit(1_000_000_000)))
     goes_on = (after != "") & ~F.rlike(after, F.lit(r"^(?:\(\d+\))?(?:\.|$)"))
     ends_there = F.rlike(after, F.lit(_EXT.replace("(?i)", "(?i)^" + _NUMBER)))
     base = kept.select(
         "rec_id", "field", "source", state.alias("state"), F.length(text).alias("chars"), F.octet_length(text).alias("bytes"), ending(text).alias("word"),
-        F.when(goes_on, "on").when(ends_there, "whole").alias("evidence"),
-        "sidecar_name", (F.length(F.regexp_replace(text, r"\d", "")) <= F.length(text) - 4).alias("numbered"),
+        F.when(goes_on, "on").when(ends_there, "whole").alias("evidence"), "sidecar_name",
     )
     base = cut(base, "endings")
     by = ["field", "source", "state"]
-    # numbered names have few lengths by nature, and a sidecar's name that ends in an extension has lost nothing
-    lengths = hazards(base.where("state <> 'fixed' and not ((numbered or sidecar_name) and state = 'ext')"), by, also=F.col("source") == _NO_SOURCE)
+    # names that end in a number have few lengths by nature, and a sidecar's name that ends in an extension has lost nothing
+    exempt = (F.col("state") == "ext") & (F.contains(F.col("word"), F.lit("0")) | F.col("sidecar_name"))
+    tests = length_tests(base.where((F.col("state") != "fixed") & ~exempt), by)
     # values without source come from any uploader: a limit of a named source of the same field holds for them too,
     # even where too few reach it to show it by themselves
     same = ["field", "state", "unit", "length"]
-    named = lengths.where((F.col("source") != _NO_SOURCE) & F.col("known")).select(*same).distinct().withColumn("inherited", F.lit(True))
-    lengths = lengths.join(named, same, "left").where("known or inherited").drop("inherited")
-    lengths = cut(lengths, "lengths")
-    few = lengths.limit(broadcast_rows + 1).count() <= broadcast_rows
-    side = lambda unit: (F.broadcast if few else (lambda d: d))(lengths.where(F.col("unit") == unit).select(*by, F.col("length").alias(unit), F.col("excess").alias(f"x_{unit}")))
-    judged = base.join(side("chars"), [*by, "chars"], "left").join(side("bytes"), [*by, "bytes"], "left")
-    excess = F.greatest(F.coalesce("x_chars", F.lit(0.0)), F.coalesce("x_bytes", F.lit(0.0)))
-    judged = judged.withColumn("excess", F.when((F.col("state") == "ext") & (F.col("numbered") | F.col("sidecar_name")), 0.0).otherwise(excess))
+    known = F.col("q") <= rate
+    named = tests.where(known & (F.col("source") != _NO_SOURCE)).select(*same).distinct().withColumn("inherited", F.lit(True))
+    tests = tests.join(named, same, "left").withColumn("known", known)
+    at_limit = F.col("known") | ((F.col("source") == _NO_SOURCE) & F.coalesce("inherited", F.lit(False)))
+    tests = cut(tests.select(*by, "unit", "length", "q", "known", F.when(at_limit, F.nullif("excess", F.lit(0.0))).alias("x")), "tests")
+    few = tests.limit(broadcast_rows + 1).count() <= broadcast_rows
+    hint = F.broadcast if few else (lambda d: d)
+    side = lambda unit: hint(tests.where(F.col("unit") == unit).select(*by, F.col("length").alias(unit), F.col("x").alias(f"x_{unit}"), F.col("q").alias(f"q_{unit}")))
+    judged = base.where("state is not null").join(side("chars"), [*by, "chars"], "left").join(side("bytes"), [*by, "bytes"], "left")
+    zero = F.lit(0.0)
+    x_chars, x_bytes = F.coalesce("x_chars", zero), F.coalesce("x_bytes", zero)
+    judged = judged.withColumn("excess", F.when(exempt, 0.0).otherwise(F.greatest(x_chars, x_bytes)))
+    told = F.when(F.col("excess") > 0, x_chars >= x_bytes).otherwise(F.coalesce("q_chars", F.lit(1.0)) <= F.coalesce("q_bytes", F.lit(1.0)))
+    judged = judged.withColumn("unit", F.when(told, "chars").otherwise("bytes")).withColumn("length", F.when(told, F.col("chars")).otherwise(F.col("bytes")))
+    judged = judged.withColumn("q", F.coalesce(F.when(told, F.col("q_chars")).otherwise(F.col("q_bytes")), F.lit(1.0)))
+    at = F.when(F.col("excess") > 0, 1).otherwise(0)
+    spot = [F.when(F.col("excess") > 0, F.col(c)).alias(c) for c in ("unit", "length")]
+    counts = cut(judged.groupBy("word", *by, *spot).agg(F.count("*").alias("n"), F.sum(at).alias("at")), "ends")
     # a word ends whole values if a share of all its occurrences does so; a count would grow with the corpus
     inside = kept.where("text <> ''").select(F.explode(inner_words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("inside"))
-    unit = F.when(F.coalesce("x_chars", F.lit(0.0)) >= F.coalesce("x_bytes", F.lit(0.0)), "chars").otherwise("bytes")
-    judged = judged.withColumn("unit", F.when(F.col("excess") > 0, unit)).withColumn("length", F.when(F.col("unit") == "chars", F.col("chars")).when(F.col("unit") == "bytes", F.col("bytes")))
-    counts = cut(judged.where("state is not null").groupBy("word", *by, "unit", "length").agg(F.count("*").alias("n"), F.sum(F.when(F.col("excess") > 0, 1).otherwise(0)).alias("at")), "ends")
     words = cut(counts.groupBy("word").agg(F.sum("n").alias("last")).join(inside, "word", "left").select("word", (F.col("last") + F.coalesce("inside", F.lit(0))).alias("all")), "words")
     # where names just happen to have one length, the words there end values of other lengths as well; a limit breaks many of them
     ext = F.col("state") == "ext"
@@ -158,30 +213,35 @@ def find(values: DataFrame, least_share: float = 0.05, least_broken: float = 0.3
     elsewhere = F.col("ends") - F.coalesce("own", F.lit(0))
     fragment = (F.col("word") == "") | (elsewhere < least_share * F.col("all")) | (elsewhere == 0)
     broken = broken.groupBy(*by, "unit", "length").agg((F.sum(F.when(fragment, F.col("at")).otherwise(0)) / F.sum("at")).alias("broken"))
-    broken = cut(broken.where(F.col("broken") >= least_broken).join(lengths.select(*by, "unit", "length", "known"), [*by, "unit", "length"]), "limits")
+    broken = cut(broken.where(F.col("broken") >= least_broken).join(tests.select(*by, "unit", "length", "known"), [*by, "unit", "length"]), "limits")
     confirmed = broken.where(F.col("known") & (F.col("source") != _NO_SOURCE)).select(*same).distinct().withColumn("inherited", F.lit(True))
-    broken = broken.join(confirmed, same, "left").where("known or inherited").select(*by, "unit", "length", "broken")
-    limits = F.broadcast(broken) if few else broken
-    ends = counts.where(ext).join(limits, [*by, "unit", "length"], "left_anti").groupBy("word").agg(F.sum("n").alias("ends"))
-    ends = ends.join(words, "word").where(F.col("ends") >= least_share * F.col("all")).select("word", "ends")
-    asked = judged.where("state in ('bare', 'part', 'mark') or excess > 0")
+    limits = hint(broken.join(confirmed, same, "left").where("known or inherited").select(*by, "unit", "length", "broken"))
+    away = counts.join(limits, [*by, "unit", "length"], "left_anti")
+    ends = away.where(ext).groupBy("word").agg(F.sum("n").alias("ends"))
+    ends = cut(ends.join(words, "word").where(F.col("ends") >= least_share * F.col("all")).select("word", "ends"), "whole-words")
+    whole = F.col("ends").isNotNull() & (F.col("word") != "")
+    classes = away.where("state <> 'fixed'").join(ends, "word", "left").groupBy(*by, whole.alias("whole")).agg(F.sum("n").alias("n"))
+    background = broken_transfers(classes)
     # few values are asked about, and the words they end in are counted before they are joined
-    asked = asked.join(ends, "word", "left").withColumn("whole", F.col("ends").isNotNull() & (F.col("word") != ""))
-    asked = asked.join(limits, [*by, "unit", "length"], "left")
-    asked = asked.withColumn("excess", F.when(F.col("broken").isNotNull(), F.col("excess")).otherwise(0.0))
-    like_cut = F.when(F.col("whole"), _WHOLE_IF_CUT).otherwise(1 - _WHOLE_IF_CUT)
-    like_not = F.when(F.col("whole"), _WHOLE_IF_NOT).otherwise(1 - _WHOLE_IF_NOT)
-    posterior = F.col("excess") * like_cut / (F.col("excess") * like_cut + (1 - F.col("excess")) * like_not)
-    is_cut = (
-        F.when((F.col("field") == "name") & F.col("state").isin("bare", "part", "mark"), True)
-        .when(F.col("state") == "part", True)
-        .when(F.col("evidence") == "whole", False)
-        .when(F.col("evidence") == "on", True)
-        .when(F.col("excess") > 0, posterior > 0.5)
-        .otherwise(F.col("state").isin("bare", "mark") & ~F.col("whole"))
-    )
-    found = asked.where(is_cut).select("rec_id", "field", "source")
-    return found.withColumn("source", F.nullif("source", F.lit(_NO_SOURCE)))
+    asked = judged.where("state in ('bare', 'part', 'mark') or excess > 0").join(ends, "word", "left").withColumn("whole", whole)
+    asked = asked.join(limits, [*by, "unit", "length"], "left").join(hint(background), ["field", "source"], "left")
+    x, b = F.when(F.col("broken").isNotNull(), F.col("excess")).otherwise(0.0), F.coalesce("background", zero)
+    l1, l0 = _chances(F.col("field"), F.col("state"), F.col("whole"))
+    o1, o0 = _chances(F.col("field"), F.col("state"), ~F.col("whole"))
+    asked = asked.withColumns({"excess": x, "_mine": b * l1 + (1 - b) * l0, "_other": b * o1 + (1 - b) * o0, "_cut": b * l1})
+    word = lambda p: F.when(F.col("whole"), p).otherwise(1 - p)
+    # what is not due to the limit ends as values elsewhere do; what is, as the words broken there tell
+    rest = F.when(ext, word(F.lit(_WORD_IF_WHOLE))).otherwise(F.col("_mine") / (F.col("_mine") + F.col("_other"))) * (1 - F.col("excess"))
+    intact = (1 - F.col("broken") - (1 - F.col("excess")) * _WORD_IF_WHOLE) / F.col("excess")
+    limit = F.when(F.col("excess") > 0, F.col("excess") * word(F.greatest(F.lit(_LEAST_WORD), F.least(intact, F.lit(1 - _LEAST_WORD))))).otherwise(0.0)
+    asked = asked.withColumn("posterior", (limit + rest * F.col("_cut") / F.col("_mine")) / (limit + rest))
+    is_cut = F.when(F.col("evidence") == "whole", False).when(F.col("evidence") == "on", True).otherwise(F.col("posterior") > 0.5)
+    return asked.select("rec_id", "field", F.nullif("source", F.lit(_NO_SOURCE)).alias("source"), "unit", "length", "q", "excess", "background", "posterior", "evidence", is_cut.alias("is_cut"))
+
+
+def find(values: DataFrame, **options) -> DataFrame:
+    """(rec_id, field, source, unit, length, q, excess, background, posterior, evidence) of the values that are cut; see judge."""
+    return judge(values, **options).where("is_cut").drop("is_cut")
 
 
 def totals(values: DataFrame) -> DataFrame:

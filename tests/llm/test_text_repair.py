@@ -112,6 +112,30 @@ def test_limit_of_a_mixed_source_with_a_small_hazard(spark):
     assert len(broken) > 30 and broken <= found and len([i for i in found if i < 5000]) <= 3
 
 
+def test_dated_names_take_part_in_the_length_test(spark):
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9))) for _ in range(60)]
+    long = ["Summer 2019 " + " ".join(r.choice(vocabulary) for _ in range(r.randint(2, 9))) for _ in range(2000)]
+    lost = [t for t in long if len(t) > 45 and t[38] != " "][:150]
+    rows = [(i, "name", "a", t + ".jpg", False, None) for i, t in enumerate(long)] + [(5000 + i, "name", "a", t[:39] + ".jpg", False, None) for i, t in enumerate(lost)]
+    rows += [(9000 + i, "name", "a", f"IMG_2019{i:04d}.jpg", False, None) for i in range(3000)]
+    got = {x.rec_id: x for x in truncation.find(spark.createDataFrame(rows, S)).collect()}
+    broken = {5000 + i for i, t in enumerate(lost) if t[:39].rsplit(" ", 1)[-1] not in vocabulary}
+    assert len(broken) > 60 and broken <= set(got) and not [i for i in got if i >= 9000] and len([i for i in got if i < 5000]) <= 3
+    assert all(got[i].q <= 0.001 and got[i].length in (39 + 4,) and got[i].excess > 0.5 for i in broken)
+
+
+def test_broken_transfers_have_no_limit_but_a_share(spark):
+    r = random.Random(5)
+    names = [" ".join(r.choice(["harbour", "market", "bridge", "garden", "station"]) for _ in range(r.randint(1, 6))) + ".jpg" for _ in range(3000)]
+    rows = [(i, "title", "a", n if i % 50 else n[: r.randint(3, len(n) - 6)], False, None) for i, n in enumerate(names)]
+    rows += [(9000, "name", "one", "harb", False, None), (9001, "name", "one", "harbour.jpg", False, None)]
+    got = {x.rec_id: x for x in truncation.find(spark.createDataFrame(rows, S)).collect()}
+    lost = {i for i, _, _, t, *_ in rows if i < 9000 and i % 50 == 0 and t.rsplit(" ", 1)[-1] not in ("harbour", "market", "bridge", "garden", "station", "")}
+    assert len(lost) > 30 and len(lost - set(got)) <= 1 and not [i for i in got if i < 9000 and i % 50]
+    assert 0.005 < got[min(lost & set(got))].background < 0.04 and 9000 in got and 9001 not in got
+
+
 def test_endings_of_scripts_without_spaces(spark):
     cases = {"花火 橋の下で.jpg": "下で", "Fotos\u3000家族と.png": "族と", "old har": "har", "en .jpg": "", "IMG_12.jpg": "IMG_00"}
     df = spark.createDataFrame([(k,) for k in cases], "v string")
