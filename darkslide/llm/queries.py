@@ -121,8 +121,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p9_stats(spark: SparkSession, root: str) -> DataFrame:
     """Statistics of each whole document; null texts have those of an empty text."""
-    docs = _docs(spark, root).withColumn("text", F.coalesce("text", F.lit("")))
-    return quality.with_stats(docs, table(spark, root, "common_words")).drop("text").withColumnRenamed("id", "doc_id")
+    return quality.text_stats(_docs(spark, root), table(spark, root, "common_words")).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict:

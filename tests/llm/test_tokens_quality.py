@@ -52,5 +52,77 @@ def test_mixture_finds_two_clouds(spark):
 
 
 def test_stats_of_nothing(spark):
-    r = quality.with_stats(spark.createDataFrame([("",), ("a" * 100_000,)], "text string"), spark.createDataFrame(COMMON, "lang string, word string")).collect()
-    assert all(x[c] is not None for x in r for c in quality.STATS)
+    docs = spark.createDataFrame([(1, ""), (2, "a" * 100_000), (3, None), (4, "\r\n\r\n"), (5, "\U000e0041 \U0010fffd")], "id long, text string").withColumn("no", F.lit("clash"))
+    common = spark.createDataFrame(COMMON, "lang string, word string")
+    r = quality.text_stats(docs, common).collect()
+    assert len(r) == 5 and all(x[c] is not None for x in r for c in quality.STATS)
+    assert quality.text_stats(docs.where("id < 0"), common).count() == 0 and quality.block_stats(docs, common.where("false")).count() == 2
+
+
+def _plainly(text):
+    """The statistics once more, by regular expressions over one text."""
+    import math
+
+    import regex
+
+    blank = r"[\s\u200b\ufeff]"
+    tokens = [t for t in regex.split(blank + "+", text) if t]
+    lines = [x for x in regex.split(r"[\r\n]+", text) if regex.sub(blank, "", x)]
+    words = [w.lower() for w in regex.findall(r"[\p{L}\p{M}]+(?:['’]\p{L}[\p{L}\p{M}]*)*", text)]
+    n, nt, nl = max(len(regex.sub(blank, "", text)), 1), max(len(tokens), 1), max(len(lines), 1)
+    known = {w for _, w in COMMON if w}
+    return {
+        "log_words": math.log1p(nt), "word_length": math.log(min(n / nt, 60) + 1), "digits": min(len(regex.findall(r"\p{N}", text)) / n, 0.5),
+        "common": min(len(set(words) & known) / max(len(set(words)), 1), 0.6), "unique": len(set(words)) / max(len(words), 1),
+        "ends": sum(bool(regex.search(r"[.!?…。！？।؟:;][\"'”’»“)\]]*[\p{So}\p{Sk}\p{M}\u200d\ufe0f\s]*$", x)) for x in lines) / nl,
+        "separators": min(len(regex.findall(r"[,;|\t]| {3,}", text)) / nt, 1.2), "upper": sum(bool(regex.match(r"[\p{Lu}\p{Nd}\p{P}\p{S}]", t)) for t in tokens) / nt,
+        "marks": min(sum(bool(regex.search(r"^\s*(?:[-*•‣·+]|\[.?\]|\d{1,3}[.)])\s+\S", x)) + bool(regex.search(r"\S {2,}\S+ {2,}\S|\t|[|;,]\S|\" *;|\| ", x)) for x in lines) / nl, 1.0),
+    }
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["One two. Three!", "- a\n* b\n [x] c\n[ ] d\n12) e\n1. f\n-g", "a   b   c\nlong  word  here\tq", "it's the dog’s 'end'", "| a | b |\n|---|---|", "x;y,z\n\"1\" ;2", "Hi 🙂\nbye.) \nНет »", "a, b, c: \"d.\"", "  ", "ÀÉ ß İ the THE", "1234 ٣٤ Ⅷ ½"],
+)
+def test_statistics_are_those_of_plain_expressions(text):
+    got = quality.measure([text, "other. text", text], frozenset(w for _, w in COMMON if w), False)
+    for c, v in _plainly(text).items():
+        assert abs(got[c][0] - v) < 1e-9 and abs(got[c][2] - v) < 1e-9, c
+
+
+def test_blocks_are_those_between_blank_lines():
+    got = quality.measure(["a b\r\n\r\nc\n \n\n\nd", "\n\ne\nf http://x.y/z", "", "\n"], frozenset(), True)
+    assert list(zip(got["at"], got["n_chars"])) == [(0, 2), (0, 1), (0, 1), (1, 14)] and not got.duplicated(["at", "no"]).any()
+
+
+def _labelled(r):
+    """A made corpus with known kinds, in words that no example has."""
+    sentence = lambda: f"{r.choice(['The', 'A', 'Her', 'My'])} {r.choice(['cousin', 'baker', 'teacher', 'pilot'])} {r.choice(['found', 'lost', 'sold', 'kept'])} the {r.choice(['bicycle', 'letter', 'kettle', 'ladder'])} that {r.choice(['we', 'they', 'you'])} had left {r.choice(['in the shed', 'at the inn', 'on the ferry'])} {r.choice(['before', 'after'])} the {r.choice(['frost', 'parade', 'exam'])}."
+    item = lambda: r.choice(["Kettle", "Ladder", "Bicycle", "Red scarf", "Wool hat", "Tin box"])
+    made = {
+        "prose": lambda: " ".join(sentence() for _ in range(r.randint(2, 8))),
+        "list": lambda: "\n".join(r.choice(["- ", "* "]) + item() for _ in range(r.randint(4, 12))),
+        "table": lambda: "\n".join(f"{r.randint(1, 99)}.png,{r.randint(2001, 2020)}-01-0{r.randint(1, 9)},{r.random():.2f},{r.choice(['yes', 'no'])}" for _ in range(r.randint(4, 12))),
+        "junk": lambda: "\n".join("".join(r.choice("#%&@<>|~^$[]{}=") for _ in range(40)) for _ in range(r.randint(2, 6))),
+    }
+    return [(i, k, made[k]()) for i, k in enumerate(r.choices(list(made), [80, 8, 6, 6], k=2000))]
+
+
+def test_held_out_labels(spark):
+    import random
+
+    rows = _labelled(random.Random(8))
+    got = {x.id: x for x in quality.classify(spark.createDataFrame([(i, t) for i, _, t in rows], "id long, text string"), spark.createDataFrame(COMMON, "lang string, word string")).collect()}
+    bad = {i for i, k, _ in rows if k != "prose"}
+    found = {i for i, x in got.items() if x.found}
+    assert len(found & bad) >= 0.97 * len(bad) and len(found & bad) >= 0.97 * len(found)
+
+
+def test_a_fit_that_has_not_settled_says_so(spark):
+    rnd = np.random.default_rng(4)
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in rnd.normal(0, 1, (200, len(quality.STATS)))], ", ".join(f"{c} double" for c in quality.STATS))
+    e = [rnd.normal(0, 1, (3, len(quality.STATS))) for _ in range(2)]
+    with pytest.warns(RuntimeWarning):
+        assert not quality.fit(rows, e, rounds=2, tolerance=0).converged
+    m = quality.fit(rows, e)
+    assert m.converged and m.rounds > 2
