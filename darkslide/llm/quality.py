@@ -315,11 +315,12 @@ class Mixture:
         return s / s.sum(axis=1, keepdims=True)
 
 
-def fit(rows: DataFrame, examples: list[np.ndarray], rounds: int = 300, least_spread: float = 0.08, most_spread: float = 1.0, tolerance: float = 1e-4) -> Mixture:
+def fit(rows: DataFrame, examples: list[np.ndarray], rounds: int = 300, least_spread: float = 0.08, most_spread: float = 0.5, tolerance: float = 1e-4) -> Mixture:
     """Expectation-maximisation over all rows (columns of STATS) until the mean log-likelihood rises by less than tolerance.
 
     The examples only start the components, one group each, and take no part in the rounds; a component that no row
-    supports stays where it is with a weight of nearly nothing. A fit that `rounds` end before it has settled says so
+    supports stays where it is with a weight of nearly nothing. Spreads are bounded on both sides: a wide component would
+    else take in those of other kinds. A fit that `rounds` end before it has settled says so
     by a warning and in `converged`. An iteration sends one line of sums per component and partition, whose size does
     not depend on the rows. An empty table leaves the components at the examples.
     """
@@ -329,7 +330,7 @@ def fit(rows: DataFrame, examples: list[np.ndarray], rounds: int = 300, least_sp
     mean = np.array([agg[f"m_{c}"] if agg[f"m_{c}"] is not None else every[:, i].mean() for i, c in enumerate(cols)])
     scale = np.array([max(agg[f"s_{c}"] or every[:, i].std(), 1e-3) for i, c in enumerate(cols)])
     k, d = len(examples), len(cols)
-    m = Mixture(mean, scale, np.full(k, 1 / k), np.zeros((k, d)), np.full((k, d), 0.5))
+    m = Mixture(mean, scale, np.full(k, 1 / k), np.zeros((k, d)), np.full((k, d), 0.3))
     m.centres = np.array([m.standard(e).mean(axis=0) for e in examples])
     last = -np.inf
     for done in range(1, rounds + 1):
