@@ -91,7 +91,7 @@ def p7_ids(spark: SparkSession, root: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
-    tokens = bpe.encode(docs.select(F.col("doc_id").alias("id"), "text"), _vocabulary()).select("id", F.size("ids").alias("tokens"))
+    tokens = bpe.token_counts(docs.select(F.col("doc_id").alias("id"), "text"), _vocabulary())
     sized = cut(docs.select(F.col("doc_id").alias("id"), "source").join(tokens, "id"), "sizes")
     return mixing.mix(sized, table(spark, root, "mix_targets"))
 

@@ -1,4 +1,5 @@
 import os
+import random
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from darkslide.llm import bpe, quality
 
 RANKS = f"{bpe.TOKENIZERS}/byte_bpe_50k.tiktoken"
-TEXTS = [None, "", " ", "Hello world", "it's  we'll\n\n  done ", "naïve café ＡＢＣ 花火大会 バダ", "👨‍👩‍👧 ok", "  x　y\u0085z", "a" * 3000, "loading" * 200, "x1234567890 3.14", "the the the " * 2000, "\x00\x01\ttab", "Привет мир", "<|endoftext|>"]
+TEXTS = [None, "", " ", "Hello world", "it's  we'll\n\n  done ", "naïve café ＡＢＣ 花火大会 バダ", "👨‍👩‍👧 ok", "  x　y\u0085z", "a" * 3000, "loading" * 200, "x1234567890 3.14", "the the the " * 2000, "\x00\x01\ttab", "Привет мир", "<|endoftext|>", "naïveté naïveté Zxqj", "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=20_000)), "abab" * 500, "あ漢字の写真" * 3000, "=-" * 5000, "tion" * 400 + "ing" * 99]
 
 
 @pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary here")
@@ -16,16 +17,41 @@ def test_ids_equal_the_library(spark):
     t = tokenizers.Tokenizer.from_file(f"{bpe.TOKENIZERS}/byte_bpe_50k.json")
     t.encode_special_tokens = True
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string").withColumns({"ids": F.lit("clash"), "word": F.lit(1)})
-    for limit in (200_000, 0):
+    for limit in (64 << 20, 0):
         got = {r.id: list(r.ids) for r in bpe.encode(df, bpe.rank_map(RANKS), 64, limit).collect()}
         assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(TEXTS)}
     back = bpe.encode(df.where("text is not null"), bpe.rank_map(RANKS)).select("id", bpe.decode(F.col("ids"), bpe.piece_list(RANKS)).alias("t"))
     assert {r.id: r.t for r in back.collect()} == {i: x for i, x in enumerate(TEXTS) if x is not None}
-    twice = bpe.encode(df.where("id = 3").union(df.where("id = 3")), bpe.rank_map(RANKS)).collect()
-    assert len(twice) == 1
+    twice = df.where("id in (3, 15)").union(df.where("id in (3, 15)"))
+    assert bpe.encode(twice, bpe.rank_map(RANKS)).count() == 2
+    for d in (df, twice):
+        sizes = {r.id: r.tokens for r in bpe.token_counts(d, bpe.rank_map(RANKS), 64).collect()}
+        assert sizes == {i: len(got[i]) for i in sizes} and len(sizes) == d.distinct().count()
     assert bpe.encode(df.where("id < 0"), bpe.rank_map(RANKS)).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary here")
+def test_a_run_of_a_megabyte(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(f"{bpe.TOKENIZERS}/byte_bpe_50k.json")
+    r = random.Random(2)
+    texts = ["a" * 1_000_000, "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "".join(r.choices(["the", "ing", "er", "at"], k=100_000))]
+    got = {x.id: list(x.ids) for x in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), bpe.rank_map(RANKS)).collect()}
+    assert got == {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+
+
+@pytest.mark.skipif(not os.path.exists(RANKS), reason="no vocabulary here")
+def test_every_token_merges_to_itself():
+    """What lets all pairs of one rank merge at once: each token's bytes, taken alone, merge to the token by lower ranks."""
+    ranks = bpe.read_ranks(RANKS)
+    for token, rank in ranks.items():
+        p = [token[i : i + 1] for i in range(len(token))]
+        while len(p) > 1:
+            low, i = min((ranks.get(p[i] + p[i + 1], 1 << 30), i) for i in range(len(p) - 1))
+            assert low <= rank, token
+            p[i : i + 2] = [p[i] + p[i + 1]]
+
+
 COMMON = [("en", w) for w in "the of and to in is was it that on with for as but not at by we he she they had".split()] + [("de", w) for w in "der die das und ist war nicht mit auf wir ein eine".split()] + [("ja", "ない"), ("ja", "した"), ("ja", "です"), (None, None)]
 PROSE = "We went to the lake with the dogs and it was cold. She had the map, but not the keys to the boat. "
 
