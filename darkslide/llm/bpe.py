@@ -24,7 +24,7 @@ TOKENIZERS = os.environ.get("DARKSLIDE_TOKENIZERS", "/opt/tokenizers")
 _WS = "\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 # the published splitting pattern, with white space spelled out
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-BUCKETS = 32768
+BUCKETS = 16384
 _NONE = 2**31 - 1
 _SHORT = 48  # bytes up to which a word is merged pair by pair
 _WITHIN = b"\xff\xff\xff"  # no UTF-8 text has these bytes: a pair before them is a pair within some token
@@ -188,8 +188,9 @@ def _coded(texts: DataFrame, ranks: F.Column, chunk: int) -> DataFrame:
 
 def _spelled(words_: DataFrame, ranks: F.Column, broadcast_bytes: int) -> DataFrame:
     """(word, ids) of the distinct words of a table, each merged once; marked for broadcast while its bytes are within the bound."""
-    # read by each length once, so written between
-    made = cut(merge(cut(words_.select("word").distinct(), "words"), ranks), "word-ids")
+    # few bytes and much work: as many tasks as a shuffle has, not as few as the bytes fill; read by each length once, so written between
+    n = int(words_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = cut(merge(cut(words_.select("word").distinct().repartition(n), "words"), ranks), "word-ids")
     size = made.agg(F.coalesce(F.sum(F.octet_length("word") + 4 * F.size("ids") + 64), F.lit(0))).first()[0]
     return F.broadcast(made) if size <= broadcast_bytes else made
 
