@@ -66,6 +66,7 @@ def test_mix(spark):
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
     m = mixing.mix(d, t, block=512, per_bucket=5_000)
     got = {r.source: r for r in mixing.shares(m, t).collect()}
+    assert all(abs(got[k].share - w) < 0.002 for k, w in (("big", 0.5), ("mid", 0.3), ("small", 0.2)))
     assert abs(got["big"].share - 0.5) < 0.01 and abs(got["mid"].share - 0.3) < 0.01 and abs(got["small"].share - 0.2) < 0.01 and got["absent"].tokens == 0
     assert got["small"].most <= 4 and got["mid"].most <= 2 and got["big"].most == 1 and set(got) == {"big", "mid", "small", "absent"}
     rows = m.orderBy("position").collect()
@@ -73,3 +74,47 @@ def test_mix(spark):
     one = mixing.mix(d, t, block=512)  # other buckets keep the shares
     assert abs({r.source: r.share for r in mixing.shares(one, t).collect()}["big"] - 0.5) < 0.01
     assert mixing.mix(d.where("id < 0"), t).count() == 0 and mixing.mix(d, t.where("source = 'absent'")).count() == 0
+
+
+def _deviation(rows, weights):
+    """The most by which a source's running tokens are off its share of all so far."""
+    have, total, worst = dict.fromkeys(weights, 0), 0, 0.0
+    for r in rows:
+        have[r.source] += r.tokens
+        total += r.tokens
+        worst = max(worst, *(abs(have[s] - w * total) for s, w in weights.items()))
+    return worst
+
+
+def test_running_shares_stay_within_a_block(spark):
+    rnd = random.Random(6)
+    weights = {"a": 0.3, "b": 0.25, "c": 0.2, "d": 0.1, "e": 0.1, "f": 0.05}
+    docs = [(i, s, rnd.randrange(1, 1024 if i % 3 else 200)) for i, s in enumerate(rnd.choices(list(weights), k=6000))]
+    d = spark.createDataFrame(docs, "id long, source string, tokens long")
+    t = spark.createDataFrame([(s, w, 1 + i) for i, (s, w) in enumerate(weights.items())], "source string, target_share double, max_repeats int")
+    rows = mixing.mix(d, t, per_bucket=20_000).orderBy("position").collect()
+    assert _deviation(rows, weights) < 2048 and len({(r.id, r.repeat) for r in rows}) == len(rows)
+    assert all(r.repeat <= list(weights).index(r.source) for r in rows) and len({r.position for r in rows}) == len(rows)
+    total = sum(r.tokens for r in rows)
+    assert all(abs(sum(r.tokens for r in rows if r.source == s) / total - w) < 0.001 for s, w in weights.items())
+
+
+def test_a_document_beyond_the_share_gives_way(spark):
+    docs = [(1, "a", 1000), (2, "b", 900), (3, "b", 5000), (4, "b", 90), (5, "b", 9), (6, "b", 1)]
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    for seed in range(4):
+        rows = mixing.mix(spark.createDataFrame(docs, "id long, source string, tokens long"), t, seed=seed).collect()
+        assert sum(r.tokens for r in rows if r.source == "b") == 1000 and 3 not in {r.id for r in rows}
+
+
+def test_starts_run_through_buckets_and_spans(spark):
+    rnd = random.Random(9)
+    rows = [(i, s, rnd.randrange(1, 50)) for i, s in enumerate(rnd.choices("xyz", [6, 3, 1], k=3000))]
+    d = spark.createDataFrame(rows, "id long, source string, tokens long").withColumn("h", F.xxhash64("id"))
+    d = d.join(d.groupBy("source").agg(F.sum("tokens").alias("total")), "source")
+    got = {}
+    for r in mixing.running_starts(d, per_bucket=200, span=8).collect():
+        got.setdefault(r.source, []).append((r.start, r.tokens))
+    for starts in got.values():
+        starts.sort()
+        assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
