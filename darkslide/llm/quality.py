@@ -333,28 +333,34 @@ def fit(rows: DataFrame, examples: list[np.ndarray], rounds: int = 300, least_sp
     m = Mixture(mean, scale, np.full(k, 1 / k), np.zeros((k, d)), np.full((k, d), 0.3))
     m.centres = np.array([m.standard(e).mean(axis=0) for e in examples])
     last = -np.inf
+
+    def pack(batches: Iterator[pd.DataFrame], start: Mixture = m) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"z": [start.standard(b[cols].to_numpy(float)).astype(np.float32).tobytes()]})
+
+    # the rounds read blocks of standardized rows, one value each, and none of the rows themselves
+    packed = cut(rows.select(*cols).mapInPandas(pack, "z binary"), "packed")
     for done in range(1, rounds + 1):
         now = m
 
         def sums(batches: Iterator[pd.DataFrame], now: Mixture = now) -> Iterator[pd.DataFrame]:
             n, x, xx, ll, seen = np.zeros(k), np.zeros((k, d)), np.zeros((k, d)), 0.0, 0
-            for b in batches:
-                if not len(b):
-                    continue
-                z = now.standard(b[cols].to_numpy(float))
+            for block in (z for b in batches for z in b["z"]):
+                z = np.frombuffer(block, np.float32).reshape(-1, d).astype(float)
                 s = now.log_shares(z)
                 top = s.max(axis=1)
                 p = np.exp(s - top[:, None])
                 t = p.sum(axis=1)
                 ll += float((np.log(t) + top).sum())
-                seen += len(b)
+                seen += len(z)
                 p /= t[:, None]
                 n += p.sum(axis=0)
                 x += p.T @ z
                 xx += p.T @ (z * z)
             yield pd.DataFrame({"sums": [[*n, *x.ravel(), *xx.ravel(), ll, float(seen)]]})
 
-        parts = rows.select(*cols).mapInPandas(sums, "sums array<double>")
+        parts = packed.mapInPandas(sums, "sums array<double>")
         got = parts.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
         v = np.zeros(k + 2 * k * d + 2)
         for r in got:
