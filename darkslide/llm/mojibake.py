@@ -292,7 +292,8 @@ def repair_path_udf(values: pd.Series) -> pd.DataFrame:
 # encodings that a word may have had, and encodings it may have been read in instead
 TRUE_CODECS = ("cp1252", "cp437", "cp850", "cp852", "mac_roman", "cp1250", "iso8859_2", "cp1254", "cp1251", "cp866", "koi8_r", "cp1253", "iso8859_7", "cp932", "euc_jp", "cp949", "gbk", "big5", "utf_8")
 READ_CODECS = ("western", "cp437", "cp850", "mac_roman", "cp1251", "cp866", "koi8_r", "cp1250", "cp1253", "cp1254", "cp932", "gbk", "cp949", "big5")
-WORD_BREAK = "[ /._,()0-9-]+"
+_BREAKS = " /._,()0-9-"
+WORD_BREAK = f"[{_BREAKS}]+"
 
 
 @lru_cache(maxsize=None)
@@ -325,23 +326,37 @@ def words_of(*cols: F.Column) -> F.Column:
     return F.array_distinct(F.filter(parts, lambda w: F.length(w) != F.octet_length(w)))
 
 
+def word_counts(corpus: DataFrame) -> DataFrame:
+    """(word, n, values) of the words beyond ASCII in all columns of a table: the rows that have it, and the distinct path parts that do.
+
+    Parts are counted before their words are, so that a folder that holds a third of the rows is one line.
+    """
+    parts = F.flatten(F.array(*(F.split(F.coalesce(F.col(c), F.lit("")), "/") for c in corpus.columns)))
+    odd = F.filter(parts, lambda p: F.length(p) != F.octet_length(p))
+    counted = corpus.select(F.explode(F.array_distinct(odd)).alias("part")).groupBy("part").agg(F.count("*").alias("c"))
+    return counted.select("c", F.explode(words_of(F.col("part"))).alias("word")).groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("values"))
+
+
 def word_repairs(words: DataFrame, min_count: int = 3, ratio: float = 3.0) -> DataFrame:
     """(word, fixed): words of one legacy encoding read in another, with the common word each stands for.
 
-    words: (word, n) of the whole corpus. A word is garbled if one of its candidates is a word of the corpus at
-    least min_count times and ratio times as frequent; the most frequent candidate is taken, ties by order.
-    Words of one character are never garbled by themselves.
+    words: (word, n, values) of the whole corpus. A word is garbled if one of its candidates is a word of the corpus
+    at least min_count times and ratio times as frequent, by rows or by distinct values: a garbled folder may hold more
+    rows than its right name has, but it is one value. The most frequent candidate is taken, ties by order. Words of
+    one character are never garbled by themselves.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(w, n, c) for w, n in zip(b["word"], b["n"]) if len(w) > 1 for c in word_candidates(w)]
-            yield pd.DataFrame(rows, columns=["word", "n", "fixed"])
+            rows = [(w, n, v, c) for w, n, v in zip(b["word"], b["n"], b["values"]) if len(w) > 1 for c in word_candidates(w)]
+            yield pd.DataFrame(rows, columns=["word", "n", "values", "fixed"])
 
-    made = words.select("word", "n").mapInPandas(run, "word string, n long, fixed string")
-    known = words.where(F.col("n") >= min_count).select(F.col("word").alias("fixed"), F.col("n").alias("m"))
-    hits = made.join(known, "fixed").where(F.col("m") >= ratio * F.col("n"))
-    return hits.groupBy("word").agg(F.max_by("fixed", F.struct("m", "fixed")).alias("fixed"))
+    made = words.select("word", "n", "values").mapInPandas(run, "word string, n long, values long, fixed string")
+    known = words.where(F.col("n") >= min_count).select(F.col("word").alias("fixed"), F.col("n").alias("m"), F.col("values").alias("mv"))
+    by_values = (F.col("mv") >= min_count) & (F.col("mv") >= ratio * F.col("values"))
+    by_rows = (F.col("m") >= ratio * F.col("n")) & (F.col("mv") >= F.col("values"))
+    hits = made.join(known, "fixed").where(by_rows | by_values)
+    return hits.groupBy("word").agg(F.max_by("fixed", F.struct("mv", "m", "fixed")).alias("fixed"))
 
 
 def find(values: DataFrame, fields: dict[str, bool], corpus: DataFrame | None = None, broadcast_words: int = 200_000) -> DataFrame:
@@ -356,16 +371,20 @@ def find(values: DataFrame, fields: dict[str, bool], corpus: DataFrame | None =
 
     values = values.select("rec_id", *fields)
     corpus = values.select(*fields) if corpus is None else corpus
-    counted = corpus.select(F.explode(words_of(*corpus.columns)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counted = cut(counted, "words")
+    counted = cut(word_counts(corpus), "words")
     bad = cut(word_repairs(counted), "word-repairs")
-    bad_side = F.broadcast(bad) if bad.limit(broadcast_words + 1).count() <= broadcast_words else bad
+    small = bad.limit(broadcast_words + 1).count() <= broadcast_words
+    bad_side = F.broadcast(bad) if small else bad
     out = []
     for field, is_path in fields.items():
         one = values.select("rec_id", F.col(field).alias("value")).where(F.length("value") != F.octet_length("value"))
         spans = one.where(suspicious(F.col("value"))).withColumn("r", (repair_path_udf if is_path else repair_udf)("value")).where("r.garbled")
         spans = spans.select("rec_id", "value", F.col("r.fixed").alias("fixed"), F.col("r.path").alias("path"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("to"))
-        words = one.withColumn("word", F.explode(words_of(F.col("value")))).join(bad_side.withColumnRenamed("fixed", "to"), "word")
+        words = one.withColumn("word", F.explode(words_of(F.col("value"))))
+        if small:
+            words = words.join(bad_side.withColumnRenamed("fixed", "to"), "word")
+        else:  # words travel without their values, which are fetched for the few that are garbled
+            words = words.select("rec_id", "word").join(bad_side.withColumnRenamed("fixed", "to"), "word").join(one, "rec_id")
         words = words.select("rec_id", "value", F.lit(None).cast("string").alias("fixed"), F.lit(None).cast("string").alias("path"), "word", "to")
         out.append(spans.unionByName(words).withColumn("field", F.lit(field)))
     hits = out[0]
@@ -375,5 +394,5 @@ def find(values: DataFrame, fields: dict[str, bool], corpus: DataFrame | None =
     hits = hits.groupBy("rec_id", "field").agg(F.max("value").alias("value"), F.max("fixed").alias("fixed"), F.max("path").alias("path"), F.collect_set(F.when(F.col("word").isNotNull(), F.struct("word", "to"))).alias("words"))
     # a word of two characters fits too much by chance: it counts only beside other evidence
     hits = hits.where(F.col("path").isNotNull() | F.exists("words", lambda w: F.length(w["word"]) > 2))
-    fixed = F.aggregate(F.array_sort("words"), F.coalesce("fixed", "value"), lambda t, w: F.replace(t, w["word"], w["to"]))
+    fixed = F.aggregate(F.array_sort("words"), F.coalesce("fixed", "value"), lambda t, w: F.regexp_replace(t, F.concat(F.lit("(?<![^" + _BREAKS + "])\\Q"), w["word"], F.lit("\\E(?![^" + _BREAKS + "])")), w["to"]))
     return hits.select("rec_id", "field", "value", fixed.alias("fixed"), F.concat_ws(";", F.nullif("path", F.lit("")), F.when(F.size("words") > 0, F.lit("words"))).alias("path"))

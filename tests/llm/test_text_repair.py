@@ -44,6 +44,20 @@ def test_find_and_words(spark):
     assert mojibake.find(df.where("rec_id < 0"), {"a": True}).count() == 0
 
 
+def test_a_hot_garbled_folder_is_found(spark):
+    bad = "Вельмирск".encode("cp1251").decode("cp1252")
+    rows = [(i, f"{bad}/IMG_{i}.jpg") for i in range(300)] + [(1000 + i, f"Вельмирск {i}/a.jpg") for i in range(20)]
+    got = {r.rec_id: r.fixed for r in mojibake.find(spark.createDataFrame(rows, "rec_id long, a string"), {"a": True}).collect()}
+    assert set(got) == set(range(300))
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_words_are_put_right_as_words(spark, bound):
+    rows = [(i, f"Größe {i}") for i in range(20)] + [(100, "Gr”áe Gr”áex Gr”áe.jpg")]
+    got = {r.rec_id: r.fixed for r in mojibake.find(spark.createDataFrame(rows, "rec_id long, a string"), {"a": False}, broadcast_words=bound).collect()}
+    assert got[100] == "Größe Gr”áex Größe.jpg"
+
+
 def test_prefilter_misses_nothing(spark):
     bad = [w.encode().decode(c, "ignore") for w in WORDS for c in ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp932", "gbk")]
     found = spark.createDataFrame([(b,) for b in bad if mojibake.repair(b)[0]], "v string").where(~mojibake.suspicious(F.col("v")))
