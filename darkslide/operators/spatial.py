@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from darkslide.session import cut
+
 EARTH_RADIUS_M = 6371008.8
 LEVELS = (4, 7, 10, 13, 16)
 _SLACK_M = 0.01
@@ -125,7 +127,9 @@ def region_cover(regions: DataFrame, max_cells: int = 512) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["region_id", "level", "cell", "interior"])
 
-    cells = regions.where("region_id is not null").select("region_id", "shape", "lat", "lon", "radius_m", "ring").mapInPandas(run, COVER_SCHEMA)
+    # few rows and much work: as many tasks as a shuffle has
+    spread = regions.where("region_id is not null").select("region_id", "shape", "lat", "lon", "radius_m", "ring").repartition(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "region_id")
+    cells = spread.mapInPandas(run, COVER_SCHEMA)
     return cells.groupBy("region_id", "level", "cell").agg(F.min("interior").alias("interior"))
 
 
@@ -177,7 +181,8 @@ def points_in_regions(points: DataFrame, regions: DataFrame, max_cells: int = 51
     regions = regions.select("region_id", "shape", *(F.col(c).cast("double") for c in ("lat", "lon", "radius_m")), "ring")
     n = regions.count()
     small = n * max(max_cells, 4 ** LEVELS[0]) <= broadcast_rows
-    cells = region_cover(regions, max_cells)
+    # read by the interior and by the border join, so written once
+    cells = cut(region_cover(regions, max_cells), "cover")
     levels = F.array(*(F.lit(v) for v in LEVELS))
     located = points.select("*", F.explode(levels).alias("level")).withColumn("cell", cell_of(F.col("level"), lat, lon))
     if small:
@@ -188,7 +193,11 @@ def points_in_regions(points: DataFrame, regions: DataFrame, max_cells: int = 51
         met = located.join(cells, ["level", "cell", "salt"])
     geo = regions.select("region_id", "shape", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "radius_m", "ring")
     inner = met.where("interior").select("point_id", "region_id")
-    edge = met.where("not interior").join(F.broadcast(geo) if small else geo, "region_id")
+    edge = met.where("not interior")
+    if small:
+        edge = edge.join(F.broadcast(geo), "region_id")
+    else:  # a crowded region spreads over the salts, its shape repeated for each
+        edge = edge.join(geo.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["region_id", "salt"])
     exact = F.when(F.col("shape") == "circle", great_circle_m(lat, lon, F.col("r_lat"), F.col("r_lon")) <= F.col("radius_m")).otherwise(in_ring(F.col("ring"), lat, lon))
     # cells of one region are disjoint, so pairs repeat only where points or regions do
     return inner.unionByName(edge.where(exact).select("point_id", "region_id")).dropDuplicates()

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkslide.functions.lets import let
+from darkslide.session import cut
 
 # Zone names in texts, in minutes east of UTC.
 ZONE_MINUTES = {
@@ -150,10 +151,12 @@ def resolve(df: DataFrame, text: str, source: str, now_year: int = 2026, confide
     bounds = [int((np.datetime64(f"{y}-01-01") - np.datetime64("1970-01-01")).astype(int)) * DAY_US for y in (1800, 1990, now_year + 1)]
     band = lambda c: F.when(c["wall_us"] >= bounds[2], "off").when(c["wall_us"] >= bounds[1], "now").when(c["wall_us"] >= bounds[0], "past").otherwise("off")
     df = df.withColumn("_c", F.transform(candidates(F.col(text)), lambda c: F.struct(c["fmt"].alias("fmt"), c["wall_us"].alias("wall_us"), c["offset_s"].alias("offset_s"), band(c).alias("band"))))
-    seen = (
+    # the counts are written once, as the weights are asked for their number and then joined
+    seen = cut(
         df.where(F.size("_c") > 0)
         .groupBy(F.col(source).cast("string").alias("_source"), F.transform("_c", lambda c: F.struct(c["fmt"].alias("f"), c["band"].alias("b"))).alias("profile"))
-        .count()
+        .count(),
+        "profiles",
     )
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

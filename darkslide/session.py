@@ -39,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach; a folder of the driver's machine will not do on a cluster")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="darkslide-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
