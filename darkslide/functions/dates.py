@@ -9,13 +9,14 @@ from darkslide.functions.lets import let
 
 # Shapes of dates in names, with the digits of year to second in one row.
 _Y, _M = "((?:18|19|20)\\d{2})", "(0[1-9]|1[0-2])"
+_D, _H, _N = "([0-3]\\d)", "([0-2]\\d)", "([0-5]\\d)"
 _SHAPES = (
-    rf"{_Y}{_M}(\d{{2}})-(\d{{2}})(\d{{2}})(\d{{2}})",
-    rf"{_Y}{_M}(\d{{2}})_(\d{{2}})(\d{{2}})(\d{{2}})",
-    rf"{_Y}-{_M}-(\d{{2}})-(\d{{2}})-(\d{{2}})-(\d{{2}})",
-    rf"{_Y}-{_M}-(\d{{2}})-(\d{{2}})(\d{{2}})(\d{{2}})",
-    rf"{_Y}{_M}(\d{{2}})(\d{{2}})(\d{{2}})(\d{{2}})",
-    rf"{_Y}_{_M}_(\d{{2}})_(\d{{2}})_(\d{{2}})_(\d{{2}})",
+    f"{_Y}{_M}{_D}-{_H}{_N}{_N}",
+    f"{_Y}{_M}{_D}_{_H}{_N}{_N}",
+    f"{_Y}-{_M}-{_D}-{_H}-{_N}-{_N}",
+    f"{_Y}-{_M}-{_D}-{_H}{_N}{_N}",
+    f"{_Y}{_M}{_D}{_H}{_N}{_N}",
+    f"{_Y}_{_M}_{_D}_{_H}_{_N}_{_N}",
 )
 _MILLIS = r"(?:^|\D)(\d{13})(?:\D|$)"
 _DAYS = (rf"^(?:IMG|VID|AUD|PTT|STK)-{_Y}{_M}(\d{{2}})-WA\d+", rf"^{_Y}-{_M}-(\d{{2}})[_ ]", rf"^{_Y}{_M}(\d{{2}})_\D")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ TRASH = (
 LIBRARY = ("archive", "locked folder", "failed videos", "archiv", "archives", "archivo", "archivio", "arquivo", "archief", "archiwum", "архив", "архів", "アーカイブ", "보관함")
 ALBUM_JSON = ("metadata.json", "shared_album_comments.json", "user-generated-memory-titles.json")
 
+_SPACE = r"[\p{Z}\s\x{85}]"
+# Fixed value: a year before or after words, as year folders of unlisted languages have it.
+_ANY_YEAR = r"^(?:\p{L}[\p{L}' ]*[ _-])?((?:18|19|20)\d{2})(?:[ _-][\p{L}' ]*\p{L})?$"
 _YEAR = "^(?:(?:" + "|".join(YEAR_PREFIXES) + r")(\d{4})|(\d{4})(?:" + "|".join(YEAR_SUFFIXES) + "))$"
 
 
@@ -33,7 +38,9 @@ def safe_path(entry: Column) -> Column:
 def split_root(entry: Column) -> Column:
     """(folder, name) below the first segment that is a root name, else null. Deeper folders are flattened: the name is the last segment, the folder the one after the root."""
     parts = F.split(entry, "/")
-    at = F.array_min(F.array_compact(F.transform(F.array(*map(F.lit, ROOTS)), lambda r: F.nullif(F.array_position(parts, r), F.lit(0)))))
+    # archives packed again on other systems write names decomposed
+    spelled = dict.fromkeys(unicodedata.normalize(form, r) for r in ROOTS for form in ("NFC", "NFD"))
+    at = F.array_min(F.array_compact(F.transform(F.array(*map(F.lit, spelled)), lambda r: F.nullif(F.array_position(parts, r), F.lit(0)))))
     n = F.size(parts)
     name = F.element_at(parts, -1)
     folder = F.when(n - at >= 2, F.get(parts, at.cast("int"))).otherwise("")
@@ -52,8 +59,15 @@ def is_album_json(name: Column) -> Column:
 
 
 def norm_folder(folder: Column) -> Column:
-    """Odd spaces as plain ones, trimmed; the folder is expected composed."""
-    return F.trim(F.translate(folder, "\u00a0\u202f\u2007", "   "))
+    """Odd spaces as plain ones, white space of any kind trimmed; the folder is expected composed."""
+    plain = F.translate(folder, "\u00a0\u202f\u2007", "   ")
+    return F.regexp_replace(plain, f"^{_SPACE}+|{_SPACE}+$", "")
+
+
+def generic_year(folder: Column) -> Column:
+    """The year of a folder that is one word and a year in any language, 1800 to 2100, else null; for exports whose root has an unknown name."""
+    y = F.regexp_extract(folder, _ANY_YEAR, 1).try_cast("int")
+    return F.when(y.between(1800, 2100), y)
 
 
 def folder_year(folder: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from darkslide.functions.text import EDITED, fold_key, nfc
+from darkslide.functions.text import EDITED, fold_key, live_stem, nfc
 from darkslide.session import cut
 
 _LIMIT = 51  # bytes of a sidecar's name with its extension
@@ -52,7 +52,7 @@ def candidate_names(name: str) -> list[str]:
     out: dict[str, None] = {}
     stem = re.sub(r"\.[^.]*$", "", name)
     ext = name[len(stem) :]
-    plain = next((stem[: -len(e)] for e in EDITED if stem.lower().endswith(e) and len(stem) > len(e)), None)
+    plain = next((stem[: -len(e)] for e in EDITED if stem.lower().endswith(e)), None)
     bases = [name, stem] + ([plain + ext, plain] if plain is not None else [])
     for base in bases:
         if not base:
@@ -63,7 +63,11 @@ def candidate_names(name: str) -> list[str]:
         if m := re.search(r"\(\d+\)", base):
             rest, n = base[: m.start()] + base[m.end() :], m[0]
             tail = f"{rest}.supplemental-metadata"
-            for c in (f"{tail}{n}.json", f"{rest}{n}.json", _cut(tail, _LIMIT - 5) + ".json", _cut(tail, _LIMIT - 5 - len(n)) + n + ".json"):
+            # the number is put in after the cut, so the name may pass the limit; a cut within a character gives no name
+            head = tail.encode()[: _LIMIT - 5] if len(tail.encode()) > _LIMIT - 5 else tail.encode()
+            whole = head.decode("utf-8", "ignore")
+            late = (f"{whole}{n}.json",) if whole.encode() == head else ()
+            for c in (f"{tail}{n}.json", f"{rest}{n}.json", _cut(tail, _LIMIT - 5) + ".json", *late):
                 out.setdefault(c)
     return list(out)
 
@@ -101,10 +105,26 @@ def match(media: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 
 def title_agrees(title: F.Column, name: F.Column) -> F.Column:
-    """Whether a sidecar's title and a media name can be of one file: equal stems, or one cut from the other; an empty title says nothing."""
-    low = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"\.[^.]*$", ""), r"\(\d+\)", ""))
-    a, b = low(title), low(name)
-    return title.isNull() | (title == "") | (a == b) | F.startswith(a, b) | F.startswith(b, a)
+    """Whether a sidecar's title and a media name can be of one file; a null or empty title says nothing.
+
+    Both are to be given composed. They are equal, or so without the name's number or extension, or both without their numbers; or so with
+    the name's editor's ending taken off; or they are the halves of a live photo. A null name agrees with no title.
+    """
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    bare = lambda c: F.regexp_replace(c, r"^(.*?)\(\d+\)", "$1")
+    plain = lambda c: F.regexp_replace(c, "(?iu)(?:" + "|".join(EDITED) + r")((?:\.[^.]*)?)$", "$1")
+
+    def same(n: F.Column, t: F.Column) -> F.Column:
+        of = lambda a, b: (a == t) | (a == b) | (stem(a) == t) | (stem(a) == b) | (fold_key(live_stem(a)) == fold_key(live_stem(b)))
+        return (n == t) | of(bare(n), bare(t))
+
+    names = [name]
+    for _ in range(2):
+        names.append(plain(names[-1]))
+    agrees = same(names[0], title)
+    for n in names[1:]:
+        agrees = agrees | same(n, title)
+    return title.isNull() | (title == "") | F.coalesce(agrees, F.lit(False))
 
 
 def pick_for_groups(members: DataFrame, group: str, sidecar: str, order: str, canon: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from darkslide.functions.folders import LIBRARY, ROOTS, TRASH, YEAR_PREFIXES, YEAR_SUFFIXES
 from darkslide.functions.kinds import DOCUMENTS, EXTENSIONS
+from darkslide.functions.text import EDITED
 
 
 def _in(values) -> str:
@@ -45,13 +46,14 @@ def _shape(pattern: str, fmt: str) -> str:
 
 _C, _MO = "(?:18|19|20)[0-9]{2}", "(?:0[1-9]|1[0-2])"
 _D2 = "[0-9]{2}"
+_DD, _HH, _NN = "[0-3][0-9]", "[0-2][0-9]", "[0-5][0-9]"
 _FILE_SHAPES = [
-    _shape(f"{_C}{_MO}{_D2}-{_D2}{_D2}{_D2}", "%Y%m%d-%H%M%S"),
-    _shape(f"{_C}{_MO}{_D2}_{_D2}{_D2}{_D2}", "%Y%m%d_%H%M%S"),
-    _shape(f"{_C}-{_MO}-{_D2}-{_D2}-{_D2}-{_D2}", "%Y-%m-%d-%H-%M-%S"),
-    _shape(f"{_C}-{_MO}-{_D2}-{_D2}{_D2}{_D2}", "%Y-%m-%d-%H%M%S"),
-    _shape(f"{_C}{_MO}{_D2}{_D2}{_D2}{_D2}", "%Y%m%d%H%M%S"),
-    _shape(f"{_C}_{_MO}_{_D2}_{_D2}_{_D2}_{_D2}", "%Y_%m_%d_%H_%M_%S"),
+    _shape(f"{_C}{_MO}{_DD}-{_HH}{_NN}{_NN}", "%Y%m%d-%H%M%S"),
+    _shape(f"{_C}{_MO}{_DD}_{_HH}{_NN}{_NN}", "%Y%m%d_%H%M%S"),
+    _shape(f"{_C}-{_MO}-{_DD}-{_HH}-{_NN}-{_NN}", "%Y-%m-%d-%H-%M-%S"),
+    _shape(f"{_C}-{_MO}-{_DD}-{_HH}{_NN}{_NN}", "%Y-%m-%d-%H%M%S"),
+    _shape(f"{_C}{_MO}{_DD}{_HH}{_NN}{_NN}", "%Y%m%d%H%M%S"),
+    _shape(f"{_C}_{_MO}_{_DD}_{_HH}_{_NN}_{_NN}", "%Y_%m_%d_%H_%M_%S"),
     "try_cast(nullif(regexp_extract(name, '(?:^|[^0-9])([0-9]{13})(?:[^0-9]|$)', 1), '') AS BIGINT) // 1000",
 ]
 _DAY_SHAPES = [
@@ -136,8 +138,58 @@ _P5 = """
     hits AS (SELECT group_id, near.place_id, lon, count(*) FILTER (WHERE (y0 > lat) <> (y1 > lat) AND x0 + (lat - y0) * (x1 - x0) / nullif(y1 - y0, 0) > lon) AS n FROM near JOIN edges ON edges.place_id = near.place_id GROUP BY ALL)
     SELECT group_id, place_id FROM circle UNION SELECT group_id, place_id FROM hits WHERE n % 2 = 1"""
 
-_TITLE = "lower(regexp_replace(regexp_replace({0}, '[.][^.]*$', ''), '[(][0-9]+[)]', '', 'g'))"
-_TA, _TB = _TITLE.format("title"), _TITLE.format("regexp_replace(regexp_extract(entry_name, '([^/]*)$', 1), '(?i)[.]json$', '')")
+_STEM, _DOT = "regexp_replace({0}, '[.][^.]*$', '')", "regexp_extract({0}, '([.][^.]*)$', 1)"
+_BARE, _LIVE_STEM = "regexp_replace({0}, '[(][0-9]+[)]', '')", "lower(regexp_replace(regexp_replace({0}, '[.][^.]*$', ''), '(?i)[.]m[pv]$', ''))"
+
+
+def _unedited(stem: str, longer: bool) -> str:
+    return "CASE " + " ".join(f"WHEN ends_with(lower({stem}), '{e}')" + (f" AND length({stem}) > {len(e)}" if longer else "") + f" THEN left({stem}, length({stem}) - {len(e)})" for e in EDITED) + f" ELSE {stem} END"
+
+
+def _same_title(n: str) -> str:
+    """Whether a name says what a title t, without its number u, says."""
+    a = _BARE.format(n)
+    return f"({n} = t OR {a} = t OR {a} = u OR {_STEM.format(a)} = t OR {_STEM.format(a)} = u OR {_LIVE_STEM.format(a)} = {_LIVE_STEM.format('u')})"
+
+
+def _plain_name(n: str) -> str:
+    return f"({_unedited(_STEM.format(n), True)}) || {_DOT.format(n)}"
+
+
+_TITLES = f"""
+    WITH a AS (SELECT sidecar_id, title, nfc_normalize(title) AS t, nfc_normalize(regexp_replace(regexp_extract(entry_name, '([^/]*)$', 1), '(?i)[.]json$', '')) AS n FROM sidecars),
+    b AS (SELECT *, {_BARE.format("t")} AS u, {_plain_name("n")} AS p FROM a), c AS (SELECT *, {_plain_name("p")} AS pp FROM b)
+    SELECT sidecar_id FROM c WHERE title <> '' AND NOT coalesce({_same_title("n")} OR {_same_title("p")} OR {_same_title("pp")}, false)"""
+
+
+def _cut46(x: str) -> str:
+    return f"(CASE WHEN strlen({x}) <= 46 THEN {x} ELSE {_FIT.format(x, 46)} END)"
+
+
+_LONG, _TAIL = "(base || '.supplemental-metadata')", "(rest || '.supplemental-metadata')"
+_OF_BASE = f"[{_LONG} || '.json', base || '.json', {_cut46(_LONG)} || '.json', {_cut46('base')} || '.json', base || '.metadata.json', {_cut46("(base || '.metadata')")} || '.json']"
+_OF_NUMBER = (
+    f"CASE WHEN number = '' THEN [] ELSE [{_TAIL} || number || '.json', rest || number || '.json', {_cut46(_TAIL)} || '.json', "
+    f"CASE WHEN strlen({_TAIL}) <= 46 OR strlen({_cut46(_TAIL)}) = 46 THEN {_cut46(_TAIL)} || number || '.json' END] END"
+)
+_MATCH = f"""
+    WITH e AS (SELECT * FROM entries WHERE NOT is_system AND NOT is_symlink),
+    m AS (SELECT entry_id, rel_folder, unnest(CASE WHEN nfc_normalize(name) = name THEN [name] ELSE [name, nfc_normalize(name)] END) AS name, unnest(CASE WHEN nfc_normalize(name) = name THEN [1] ELSE [1, 2] END) AS form FROM e WHERE NOT is_json),
+    s AS (SELECT *, {_STEM.format("name")} AS stem, {_DOT.format("name")} AS ext, {_unedited(_STEM.format("name"), False)} AS plain FROM m),
+    b AS (SELECT entry_id, rel_folder, form, unnest(CASE WHEN plain = stem THEN [name, stem] ELSE [name, stem, plain || ext, plain] END) AS base, unnest(CASE WHEN plain = stem THEN [1, 2] ELSE [1, 2, 3, 4] END) AS k FROM s),
+    n AS (SELECT *, regexp_extract(base, '[(][0-9]+[)]', 0) AS number, {_BARE.format("base")} AS rest FROM b WHERE base <> ''),
+    l AS (SELECT entry_id, rel_folder, form, k, list_concat({_OF_BASE}, {_OF_NUMBER}) AS names FROM n),
+    c AS (SELECT entry_id, rel_folder, form, k, unnest(names) AS candidate, unnest(range(len(names))) AS i FROM l),
+    d AS (SELECT entry_id, rel_folder, candidate, min(form * 10000 + k * 100 + i) AS o FROM c WHERE candidate IS NOT NULL GROUP BY ALL),
+    p AS (SELECT entry_id, rel_folder, candidate, row_number() OVER (PARTITION BY entry_id ORDER BY o) - 1 AS position FROM d),
+    j AS (SELECT * FROM e WHERE is_json AND lower(name) NOT IN ('metadata.json', 'shared_album_comments.json', 'user-generated-memory-titles.json')),
+    x AS (SELECT rel_folder, name, last(entry_id ORDER BY zip_ord, entry_ord, entry_id) AS sidecar_id FROM j GROUP BY ALL),
+    y AS (SELECT rel_folder, nfc_normalize(name) AS name, min(entry_id) AS sidecar_id FROM j GROUP BY 1, 2 HAVING count(*) = 1),
+    z AS (SELECT rel_folder, lower(nfc_normalize(name)) AS name, min(entry_id) AS sidecar_id FROM j GROUP BY 1, 2 HAVING count(*) = 1),
+    h AS (SELECT p.entry_id, x.sidecar_id, 1 AS pass, position FROM p JOIN x ON x.rel_folder = p.rel_folder AND x.name = candidate
+          UNION ALL SELECT p.entry_id, y.sidecar_id, 2, position FROM p JOIN y ON y.rel_folder = p.rel_folder AND y.name = nfc_normalize(candidate)
+          UNION ALL SELECT p.entry_id, z.sidecar_id, 3, position FROM p JOIN z ON z.rel_folder = p.rel_folder AND z.name = lower(nfc_normalize(candidate)))
+    SELECT entry_id, sidecar_id, CAST(pass AS INTEGER) AS pass, CAST(position AS INTEGER) AS position FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY pass, position, sidecar_id) AS rn FROM h) WHERE rn = 1"""
 
 ORACLES: dict[str, str] = {
     "p5_found": _P5,
@@ -162,7 +214,8 @@ ORACLES: dict[str, str] = {
     "sidecar_fields": "SELECT sidecar_id, title, nullif(try_cast(CASE WHEN regexp_matches(taken, '^[+-]?[0-9]+$') THEN taken END AS BIGINT), 0) AS taken, nullif(try_cast(creation AS BIGINT), 0) AS creation, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0) THEN lat END AS lat, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0) THEN lon END AS lon, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0) THEN nullif(alt, 0) END AS alt FROM sidecars",
     "sidecar_exact": "WITH s AS (SELECT rel_folder, name, last(entry_id ORDER BY zip_ord, entry_ord, entry_id) AS sidecar_entry FROM entries WHERE is_json GROUP BY ALL) SELECT e.entry_id, s.sidecar_entry FROM entries e JOIN s ON s.rel_folder = e.rel_folder AND s.name = e.name || '.json' WHERE NOT e.is_json AND NOT e.is_system",
     "ambiguous_names": "SELECT rel_folder, lower(nfc_normalize(name)) AS fold, count(*) AS sidecars FROM entries WHERE is_json GROUP BY ALL HAVING count(*) > 1",
-    "title_check": f"SELECT sidecar_id FROM sidecars WHERE NOT (title IS NULL OR title = '' OR {_TA} = {_TB} OR starts_with({_TA}, {_TB}) OR starts_with({_TB}, {_TA}))",
+    "title_check": _TITLES,
+    "sidecar_match": _MATCH,
     "neighbor_offset": f"SELECT ord, CAST(value AS BIGINT) AS value, distance FROM ({_NEAR}) WHERE rn = 1",
     "neighbor_by_user": "WITH e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events) SELECT event_id, value, distance FROM (SELECT q.event_id, d.event_id AS value, abs(d.t - q.t) AS distance, row_number() OVER (PARTITION BY q.event_id ORDER BY abs(d.t - q.t), d.event_id) AS rn FROM e q JOIN e d ON d.user_id = q.user_id AND d.event_type = 'purchase' AND abs(d.t - q.t) <= 129600 WHERE q.event_type <> 'purchase') WHERE rn = 1",
     "live_pairs": f"WITH {_LIVE} SELECT * FROM l",

@@ -203,7 +203,8 @@ def ambiguous_names(spark: SparkSession, root: str) -> DataFrame:
 
 def title_check(spark: SparkSession, root: str) -> DataFrame:
     s = table(spark, root, "sidecars").withColumn("name", F.element_at(F.split("entry_name", "/"), -1))
-    return s.where(~sidecars.title_agrees(F.col("title"), F.regexp_replace("name", r"(?i)\.json$", ""))).select("sidecar_id")
+    s = s.select("sidecar_id", text.nfc(F.col("title")).alias("t"), text.nfc(F.regexp_replace("name", r"(?i)\.json$", "")).alias("n"))
+    return s.where(~sidecars.title_agrees(F.col("t"), F.col("n"))).select("sidecar_id")
 
 
 def neighbor_offset(spark: SparkSession, root: str) -> DataFrame:

@@ -122,3 +122,65 @@ def test_valid_offset(spark, v, want):
 @pytest.mark.parametrize("v, want", [(19800, "+05:30"), (-12600, "-03:30"), (0, "+00:00")])
 def test_format_offset(spark, v, want):
     assert one(spark, v, dates.format_offset, "long") == want
+
+
+LONG = "00100sPORTRAIT_00100_BURST20181105180120932_COVER.jpg"
+
+
+@pytest.mark.parametrize(
+    "name, want",
+    [
+        (LONG, LONG + ".supplemental-metadata.json"), (LONG, LONG[:46] + ".json"), ("photo(1).jpg", "photo.jpg.supplemental-metadata(1).json"), ("photo(1).jpg", "photo.jpg(1).json"),
+        ("24.02(1).14 - 1", "24.02.14 - 1.supplemental-metadata(1).json"), ("2014-03-05(1).png", "2014-03-05.supplemental-metadata(1).json"), ("20.06.13 - 14.jpg", "20.06.13 - 14.supplemental-metadata.json"),
+        ("2014-04-04-edited.jpg", "2014-04-04.jpg.supplemental-metadata.json"), ("LIVE.MP4", "LIVE.MP4.metadata.json"), ("photo-modifié.jpg", "photo.jpg.supplemental-metadata.json"),
+        ("PXL_20190914_160000000_holiday_in_lisbon(1).jpg", "PXL_20190914_160000000_holiday_in_lisbon.jpg.s(1).json"),
+    ],
+)
+def test_sidecar_names(name, want):
+    from darkslide.operators.sidecars import candidate_names
+
+    assert want in candidate_names(name)
+
+
+def test_sidecar_names_take_no_others():
+    from darkslide.operators.sidecars import candidate_names
+
+    assert "20.06.13 - 90.supplemental-metadata.json" not in candidate_names("20.06.13 - 9.jpg")
+    assert "x" + "é" * 22 + "(1).json" not in candidate_names("x" + "é" * 30 + "(1).jpg")
+
+
+@pytest.mark.parametrize(
+    "name, title, want",
+    [
+        ("IMG_20161116_112442(1).jpg", "IMG_20161116_112442.jpg", True), ("other.jpg", "IMG.jpg", False), ("IMG_0012.MOV", "IMG_0012.HEIC", True), ("PXL_1.MP", "PXL_1.MP.jpg", True), ("PXL_1.MP~2", "PXL_1.MP.jpg", True),
+        ("IMG_0013.MOV", "IMG_0012.HEIC", False), ("photo-modifie\u0301.jpg", "photo.jpg", True), ("abc.jpg", "a", False), ("abc.jpg", ".jpg", False), ("abc.jpg", "", True), ("abc.jpg", None, True), (None, "x", False), ("abc.jpg", "abc", True), ("a(2)-edited.png", "a.png", True),
+    ],
+)
+def test_titles(spark, name, title, want):
+    from darkslide.operators.sidecars import title_agrees
+
+    df = spark.createDataFrame([(name, title)], "n string, t string")
+    assert df.select(text.nfc(F.col("t")).alias("t"), text.nfc(F.col("n")).alias("n")).select(title_agrees(F.col("t"), F.col("n")).alias("x")).first().x is want
+
+
+def test_rules_of_dates_roots_and_parts(spark):
+    from darkslide.operators import archives
+
+    now = F.lit(1_767_225_600)
+    rows = ["20191299_998877_20190914_160000.jpg", "Takeout/Google Foto\u0301k/A/b.jpg", "x-takeout-20240101T000000Z-3-x-07.zip", "Takeout/Google Fotók/A/b.jpg"]
+    got = spark.createDataFrame([(r,) for r in rows], "v string").select(dates.from_filename(F.col("v"), now)["t"].alias("t"), folders.split_root(F.col("v"))["folder"].alias("f"), archives.part_of(F.col("v"))["part"].alias("p")).collect()
+    assert got[0].t == 1568476800 and got[1].f == got[3].f == "A" and got[2].p == 7
+    assert spark.createDataFrame([("\u2003 Trip\u3000",)], "v string").select(folders.norm_folder(F.col("v")).alias("x")).first().x == "Trip"
+    y = spark.createDataFrame([("Bilder 2019",), ("2019 Fotky",), ("2019",), ("a1b 2019",), ("Trip 20191",), ("1799",)], "v string").select(folders.generic_year(F.col("v")).alias("y")).collect()
+    assert [r.y for r in y] == [2019, 2019, 2019, None, None, None]
+
+
+def test_fallback_root_is_read_again(spark):
+    from darkslide.operators import archives
+
+    rows = [("Takeout/Fotosafn/Myndir 2019/a.jpg",), ("Takeout/Fotosafn/Myndir 2019/a.jpg.json",), ("Takeout/Fotosafn/b.jpg",), ("Takeout/index.html",), ("Takeout/Mail/x.mbox",)]
+    e = spark.createDataFrame(rows, "entry_name string").withColumn("is_json", F.endswith("entry_name", F.lit(".json"))).withColumn("root", F.lit("clash"))
+    got = {(r.folder, r["name"]) for r in archives.under_fallback_root(e).collect()}
+    assert got == {("Photos from 2019", "a.jpg"), ("Photos from 2019", "a.jpg.json"), ("", "b.jpg")}
+    two = e.union(spark.createDataFrame([("Takeout/Andet/a.jpg", False, ""), ("Takeout/Andet/a.json", True, "")], e.schema))
+    assert archives.under_fallback_root(two).count() == 0 and archives.under_fallback_root(e.where("false")).count() == 0
