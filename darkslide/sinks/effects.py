@@ -84,30 +84,73 @@ class Journal:
         self.file.close()
 
 
+def file_hash(path: str) -> str:
+    digest = hashlib.sha256()
+    with open(path, "rb") as f:
+        while block := f.read(1 << 20):
+            digest.update(block)
+    return digest.hexdigest()
+
+
+def copy_no_replace(source: str, target: str) -> bool:
+    """Copies a file whole or not at all: to a hidden name first, then under its own; False if the target is taken."""
+    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+    if os.path.exists(target):
+        return False
+    part = os.path.join(os.path.dirname(target), f".{os.path.basename(target)}.{os.getpid()}.partial")
+    shutil.copy2(source, part)
+    try:
+        os.link(part, target)
+    except FileExistsError:
+        return False
+    except OSError:
+        if os.path.exists(target):
+            return False
+        os.rename(part, target)
+        return True
+    finally:
+        if os.path.exists(part):
+            os.unlink(part)
+    return True
+
+
 def place(rows: Iterator, staged: str, library: str, journal: Journal) -> int:
-    """Puts staged files where the plan (id, sha, path, year, name) says; how many were put. Intent goes to the journal first; a file that is there already counts as done."""
+    """Puts staged files where the plan (id, sha, path, year, name) says; how many were put.
+
+    Intent goes to the journal first. A file counts as placed only if its own bytes are at its path: put there now,
+    or by an earlier run. Where another file has the path, the staged one stays and the journal names the error.
+    """
     n = 0
     for r in rows:
         journal.put(id=r.id, sha=r.sha, stage="placing", path=r.path, year=r.year, name=r.name)
         source, target = os.path.join(staged, r.sha), os.path.join(library, r.path)
-        if os.path.exists(source):
-            n += put_no_replace(source, target)
-        if os.path.exists(target):
+        put = os.path.exists(source) and put_no_replace(source, target)
+        n += put
+        if put or (os.path.exists(target) and file_hash(target) == r.sha):
+            if os.path.exists(source):
+                os.unlink(source)
             journal.put(id=r.id, sha=r.sha, stage="placed", path=r.path, year=r.year, name=r.name)
+        else:
+            error = "another file has this path" if os.path.exists(target) else "the staged file is missing"
+            journal.put(id=r.id, sha=r.sha, stage="placing", path=r.path, year=r.year, name=r.name, error=error)
     return n
 
 
 def clone_albums(rows: Iterator, library: str, journal: Journal) -> int:
-    """Copies placed files (id, sha, path, albums: target paths) into their albums; how many copies were made."""
+    """Copies placed files (id, sha, path, albums: target paths) into their albums; how many copies were made. A file is cloned once its own bytes are in every album."""
     n = 0
     for r in rows:
+        own, taken = os.path.join(library, r.path), []
         for album in r.albums:
             target = os.path.join(library, album)
-            if not os.path.exists(target):
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                shutil.copy2(os.path.join(library, r.path), target)
+            if os.path.exists(own) and copy_no_replace(own, target):
                 n += 1
-        journal.put(id=r.id, sha=r.sha, stage="cloned", path=r.path, albums=list(r.albums))
+            elif not os.path.exists(target) or not os.path.exists(own) or file_hash(target) != file_hash(own):
+                taken.append(album)
+        if taken:
+            journal.put(id=r.id, sha=r.sha, stage="placed", path=r.path, albums=list(r.albums), error=f"not cloned: {taken[0]}")
+        else:
+            journal.put(id=r.id, sha=r.sha, stage="cloned", path=r.path, albums=list(r.albums))
     return n
 
 

@@ -36,3 +36,43 @@ def test_lock_and_status(tmp_path):
     assert [workspace.read_status(str(tmp_path), now=n)["state"] for n in (1050, 1500, 2000)] == ["running", "running", "stale"]
     workspace.write_status(str(tmp_path), "done", 2, 2, now=1000)
     assert workspace.read_status(str(tmp_path), now=9999)["state"] == "done"
+
+
+def _journal(path):
+    import json
+
+    return [json.loads(x) for x in open(path)]
+
+
+def test_a_taken_path_is_never_called_placed(tmp_path):
+    import hashlib
+    from types import SimpleNamespace as Row
+
+    from darkslide.sinks import effects
+
+    staged, library = tmp_path / "staged", tmp_path / "library"
+    (library / "2019").mkdir(parents=True)
+    staged.mkdir()
+    sha = {b: hashlib.sha256(b).hexdigest() for b in (b"one", b"two", b"six")}
+    for b, h in sha.items():
+        (staged / h).write_bytes(b)
+    (library / "2019" / "a.jpg").write_bytes(b"other")
+    (library / "2019" / "b.jpg").write_bytes(b"two")  # an earlier run ended between the move and its record
+    rows = [Row(id=str(i), sha=h, path=f"2019/{n}.jpg", year="2019", name=f"{n}.jpg") for i, (n, h) in enumerate(zip("abc", sha.values()))]
+    j = effects.Journal(str(tmp_path / "j"))
+    assert effects.place(iter(rows), str(staged), str(library), j) == 1
+    last = {r["id"]: (r["stage"], r.get("error")) for r in _journal(tmp_path / "j")}
+    assert last == {"0": ("placing", "another file has this path"), "1": ("placed", None), "2": ("placed", None)}
+    assert (staged / sha[b"one"]).exists() and not (staged / sha[b"two"]).exists() and (library / "2019" / "a.jpg").read_bytes() == b"other"
+    assert effects.place(iter(rows[1:]), str(staged), str(library), j) == 0  # run again
+    gone = [Row(id="9", sha="0" * 64, path="2019/z.jpg", year="2019", name="z.jpg")]
+    effects.place(iter(gone), str(staged), str(library), j)
+    assert _journal(tmp_path / "j")[-1]["error"] == "the staged file is missing"
+    albums = [Row(id="2", sha=sha[b"six"], path="2019/c.jpg", albums=["Trip/c.jpg", "Trip/taken.jpg"])]
+    (library / "Trip").mkdir()
+    (library / "Trip" / "taken.jpg").write_bytes(b"half")
+    (library / "Trip" / ".c.jpg.1.partial").write_bytes(b"s")  # what a crash left
+    assert effects.clone_albums(iter(albums), str(library), j) == 1 and (library / "Trip" / "c.jpg").read_bytes() == b"six"
+    assert _journal(tmp_path / "j")[-1]["stage"] == "placed" and (library / "Trip" / "taken.jpg").read_bytes() == b"half"
+    (library / "Trip" / "taken.jpg").unlink()
+    assert effects.clone_albums(iter(albums), str(library), j) == 1 and _journal(tmp_path / "j")[-1]["stage"] == "cloned"
