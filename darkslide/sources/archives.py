@@ -47,7 +47,14 @@ class ArchiveReader(DataSourceReader):
         return [ArchivePartition(p, i) for i, p in enumerate(list_archives(self.folder))]
 
     def read(self, partition: ArchivePartition) -> Iterator[tuple]:
-        with zipfile.ZipFile(partition.path) as z:
+        try:
+            archive = zipfile.ZipFile(partition.path)
+        except (OSError, zipfile.BadZipFile) as e:
+            if self.content:
+                yield partition.path, partition.order, -1, None, None, None, None, f"{type(e).__name__}: {e}"[:300]
+                return
+            raise RuntimeError(f"{partition.path} cannot be opened; fetch it again if it is not whole: {e}") from e
+        with archive as z:
             for i, info in enumerate(x for x in z.infolist() if not x.is_dir()):
                 if not self.content:
                     link = (info.external_attr >> 16) & 0o170000 == 0o120000
@@ -103,3 +110,26 @@ def hashes(entries: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "content_hash"])
 
     return entries.select("id", "zip_path", "entry_ord", "entry_name").mapInPandas(run, "id string, content_hash string")
+
+
+def heads(entries: DataFrame, size: int = 32, reach: int = 262_144) -> DataFrame:
+    """(id, head, motion) of entries (id, zip_path, entry_ord): the first bytes of each, and whether the marker of a motion photo lies within reach. What cannot be read has neither."""
+
+    def one(z: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[bytes | None, bool]:
+        try:
+            with z.open(info) as f:
+                body = f.read(reach)
+        except Exception:  # a damaged entry is data about the archive
+            return None, False
+        return body[:size], b"MotionPhoto" in body
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, group in b.groupby("zip_path"):
+                with zipfile.ZipFile(path) as z:
+                    infos = [x for x in z.infolist() if not x.is_dir()]
+                    rows += [(i, *one(z, infos[n])) for i, n in zip(group["id"], group["entry_ord"])]
+            yield pd.DataFrame(rows, columns=["id", "head", "motion"])
+
+    return entries.select("id", "zip_path", "entry_ord").mapInPandas(run, "id string, head binary, motion boolean")
