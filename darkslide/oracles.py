@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from darkslide.functions.folders import LIBRARY, ROOTS, TRASH, YEAR_PREFIXES, YEAR_SUFFIXES
-from darkslide.functions.kinds import DOCUMENTS, EXTENSIONS
+from darkslide.functions.kinds import DOCUMENTS, EXTENSION_OF, EXTENSIONS
 from darkslide.functions.text import EDITED
 
 
@@ -253,3 +253,24 @@ ORACLES: dict[str, str] = {
     "year_mismatch": "WITH a AS (SELECT tag_id, CAST(year AS VARCHAR) AS folder, kind, CASE WHEN try_cast(substr(dto, 1, 4) AS INTEGER) BETWEEN 1800 AND 2100 THEN try_cast(substr(dto, 1, 4) AS BIGINT) END AS y1, CASE WHEN try_cast(substr(creation_date, 1, 4) AS INTEGER) BETWEEN 1800 AND 2100 THEN try_cast(substr(creation_date, 1, 4) AS BIGINT) END AS y2 FROM embedded_tags JOIN media_groups USING (group_id)) SELECT tag_id, folder, coalesce(y1, y2) AS tag_year FROM a WHERE regexp_matches(folder, '^[0-9]{4}$') AND kind NOT IN ('raw', 'cr3', 'unknown', 'avi', 'bmp', 'mpg', 'wmv') AND (coalesce(y1, y2) IS NULL OR coalesce(y1, y2) <> CAST(folder AS BIGINT))",
 }
 ORACLES["placeholder_users"] = "SELECT user_id FROM (" + ORACLES["distinct_times"] + ") JOIN (SELECT user_id, count(*) AS c, arg_min(value, event_id) AS v FROM events GROUP BY 1) USING (user_id) WHERE n >= 3 AND c >= 3 AND v <= 50"
+
+_DISTINCT = "(SELECT DISTINCT regexp_extract(zip_path, '([^/]*)$', 1) AS zip, entry_name FROM entries)"
+_KEPT = "CASE WHEN kind IN ('raw', 'unknown') OR (" + _KIND + ") = kind THEN regexp_extract(name, '([.][^.]*)$', 1) " + " ".join(f"WHEN kind = '{k}' THEN '{v}'" for k, v in EXTENSION_OF.items()) + " END"
+_CAPTION = "trim(regexp_replace(description, ' *[\\x00-\\x1f\\x7f][\\x00-\\x1f\\x7f ]*', ' ', 'g'), ' ')"
+_SPOT = f"""CASE WHEN {_VID} THEN '-Keys:GPSCoordinates=' || printf('%.6f', la) || ', ' || printf('%.6f', lo) || coalesce(', ' || printf('%.3f', al), '')
+    ELSE '-GPSLatitude=' || printf('%.6f', abs(la)) || ' -GPSLatitudeRef=' || CASE WHEN la < 0 THEN 'S' ELSE 'N' END || ' -GPSLongitude=' || printf('%.6f', abs(lo)) || ' -GPSLongitudeRef=' || CASE WHEN lo < 0 THEN 'W' ELSE 'E' END
+      || coalesce(' -GPSAltitude=' || printf('%.3f', abs(al)) || ' -GPSAltitudeRef=' || CASE WHEN al < 0 THEN '1' ELSE '0' END, '') END"""
+ORACLES |= {
+    "archive_index": f"SELECT zip, entry_name, CAST(strlen(entry_name) AS BIGINT) AS size, false AS is_symlink FROM {_DISTINCT}",
+    "archive_bodies": f"SELECT zip, entry_name, sha256(entry_name) AS sha256, CAST(strlen(entry_name) AS BIGINT) AS octets, CAST(NULL AS VARCHAR) AS error FROM {_DISTINCT} WHERE ends_with(lower(entry_name), '.json')",
+    "journal_lines": "SELECT id, sha, stage, path, year, name, error, CAST(coalesce(len(albums), -1) AS BIGINT) AS albums FROM journal WHERE id IS NOT NULL",
+    "fallback_entries": f"""WITH a AS (SELECT entry_id, string_split(entry_name, '/') AS p FROM entries WHERE starts_with(entry_name, 'Takeout/')), b AS (SELECT *, CASE WHEN len(p) > 3 THEN trim(translate(p[3], chr(160) || chr(8239) || chr(8199), '   '), ' ' || chr(9) || chr(8195) || chr(12288)) ELSE '' END AS f FROM a WHERE len(p) >= 3 AND p[-1] <> '' AND p[2] IN (SELECT root FROM ({ORACLES["fallback_root"]}) WHERE used))
+        SELECT entry_id, CASE WHEN try_cast(y AS INTEGER) BETWEEN 1800 AND 2100 THEN 'Photos from ' || y ELSE f END AS folder, p[-1] AS file FROM (SELECT *, regexp_extract(f, '^(?:\\p{{L}}[\\p{{L}}'' ]*[ _-])?((?:18|19|20)[0-9]{{2}})(?:[ _-][\\p{{L}}'' ]*\\p{{L}})?$', 1) AS y FROM b)""",
+    "picked_values": "WITH e AS (SELECT user_id, event_id, event_type = 'purchase' AS b, max(event_id) OVER (PARTITION BY user_id) AS canon FROM events) SELECT user_id, coalesce(max(event_id) FILTER (WHERE b AND event_id = canon), min(event_id) FILTER (WHERE b)) AS event_id FROM e GROUP BY 1",
+    "fate_union": "WITH a AS (SELECT l_orderkey AS o_orderkey, min(l_returnflag) AS mark FROM lineitem GROUP BY 1), b AS (SELECT o_orderkey, min(o_orderstatus) AS mark FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1) SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, coalesce(b.mark, a.mark) AS mark FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey",
+    "shared_times": f"WITH {_LIVE}, h AS (SELECT image AS id, video AS other FROM l UNION ALL SELECT video, image FROM l), g AS (SELECT group_id, t, source, t IS NULL OR source IN ('filename', 'filename-date') AS weak FROM {_GROUPS}) SELECT g.group_id, CASE WHEN g.weak AND NOT o.weak THEN o.t ELSE g.t END AS t, CASE WHEN g.weak AND NOT o.weak THEN 'live' ELSE g.source END AS source FROM g LEFT JOIN h ON h.id = g.group_id LEFT JOIN g o ON o.group_id = h.other",
+    "output_names": f"SELECT group_id, {_KEPT} AS ext FROM media_groups g JOIN entries e ON e.entry_id = g.canon_ord + 1",
+    "directories": "SELECT CASE WHEN coalesce(placeholder, false) THEN 'placeholders' WHEN kind = 'webm' THEN 'not-importable' WHEN year IS NULL THEN 'unknown' ELSE lpad(CAST(year AS VARCHAR), 4, '0') END AS dir, count(*) AS files FROM media_groups GROUP BY 1",
+    "tag_places": f"SELECT group_id, {_SPOT} || CASE WHEN kind <> 'gif' AND {_CAPTION} <> '' THEN ' -Description=' || {_CAPTION} || ' -ImageDescription=' || {_CAPTION} ELSE '' END AS args FROM (SELECT *, floor(lat * 1000) / 1000 AS la, floor(lon * 1000) / 1000 AS lo, floor(alt * 10) / 10 AS al FROM media_groups WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180)",
+    "last_purchases": "SELECT event_id, max(event_id) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id) AS last_known FROM events",
+}

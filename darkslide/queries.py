@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkslide.functions import dates, folders, kinds, names, text
 from darkslide.operators import archives, dating, dedup, journal, ledger, pairs, placing, report, sidecars, spatial, tags, timestamps, zones
 from darkslide.oracles import ORACLES
+from darkslide.session import shared_dir
+from darkslide.sources import archives as archive_source
+from darkslide.sources import journal as journal_source
 from darkslide.sources.tables import epoch, table
 
 NOW = 1_767_225_600  # 2026-01-01, so that results do not depend on the day of a run
@@ -445,6 +453,105 @@ def year_mismatch(spark: SparkSession, root: str) -> DataFrame:
     return out.select(F.col("id").alias("tag_id"), "folder", F.col("tag_year").cast("bigint").alias("tag_year"))
 
 
+# -- sources read back ------------------------------------------------------------------------------------------------
+
+
+def _archives(spark: SparkSession, root: str) -> str:
+    """A folder of zip archives with every distinct entry of the index; the body of an entry is its name. Written once for each data folder."""
+    folder = f"{shared_dir(spark).removeprefix('file://')}/archives-{uuid.uuid4().hex}"
+    spark.dataSource.register(archive_source.ArchiveSource)
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        os.makedirs(folder, exist_ok=True)
+        base = pdf["zip_path"].iloc[0].rsplit("/", 1)[-1]
+        with zipfile.ZipFile(f"{folder}/{base}", "w") as z:
+            for n in sorted(pdf["entry_name"]):
+                z.writestr(zipfile.ZipInfo(n), n.encode())
+        return pd.DataFrame({"files": [len(pdf)]})
+
+    # one archive is one task, as an archive is one file
+    table(spark, root, "entries").select("zip_path", "entry_name").distinct().groupBy("zip_path").applyInPandas(write, "files long").count()
+    return folder
+
+
+def archive_index(spark: SparkSession, root: str) -> DataFrame:
+    """The directory of archives written from the index, as the archives source reads it."""
+    z = spark.read.format("archives").option("path", _archives(spark, root)).load()
+    return z.select(F.element_at(F.split("zip_path", "/"), -1).alias("zip"), "entry_name", "size", "is_symlink")
+
+
+def archive_bodies(spark: SparkSession, root: str) -> DataFrame:
+    """The hash and size of the body of every sidecar in those archives."""
+    z = spark.read.format("archives").option("path", _archives(spark, root)).option("mode", "content").option("suffix", ".json").load()
+    return z.select(F.element_at(F.split("zip_path", "/"), -1).alias("zip"), "entry_name", "sha256", F.octet_length("content").cast("bigint").alias("octets"), "error")
+
+
+def journal_lines(spark: SparkSession, root: str) -> DataFrame:
+    """The journal written as JSON lines, one of them torn, and read back by its source."""
+    path = f"{shared_dir(spark)}/journal-{uuid.uuid4().hex}"
+    cols = ("id", "sha", "stage", "path", "year", "name", "error", "albums")
+    lines = table(spark, root, "journal").select(F.to_json(F.struct(*cols)).alias("value"))
+    torn = spark.range(1).select(F.lit('{"id": "torn').alias("value"))
+    lines.unionByName(torn).write.text(path)
+    r = journal_source.read(spark, path)
+    return r.select("id", "sha", "stage", "path", "year", "name", "error", F.coalesce(F.size("albums"), F.lit(-1)).cast("bigint").alias("albums"))
+
+
+# -- smaller steps of the plan ----------------------------------------------------------------------------------------
+
+
+def fallback_entries(spark: SparkSession, root: str) -> DataFrame:
+    """Entries read below the one top folder that holds media and sidecars, as if its name were not listed."""
+    e = archives.under_fallback_root(table(spark, root, "entries").select("entry_id", "entry_name", "is_json"))
+    return e.select("entry_id", "folder", F.col("name").alias("file"))
+
+
+def picked_values(spark: SparkSession, root: str) -> DataFrame:
+    """For each user the purchase of the last event, else the first purchase: how a group picks its sidecar."""
+    e = table(spark, root, "events").select("user_id", "event_id", F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("bought"))
+    last = e.groupBy("user_id").agg(F.max("event_id").alias("canon"))
+    return sidecars.pick_for_groups(e.join(last, "user_id"), "user_id", "bought", "event_id", "canon").withColumnRenamed("sidecar", "event_id")
+
+
+def fate_union(spark: SparkSession, root: str) -> DataFrame:
+    """The least return flag of an order's lines where it has any, overruled by the status of orders that are not open."""
+    flags = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("mark"))
+    status = table(spark, root, "orders").where("o_orderstatus <> 'O'").select("o_orderkey", F.col("o_orderstatus").alias("mark"))
+    return ledger.by_priority([flags, status], "o_orderkey", "mark")
+
+
+def shared_times(spark: SparkSession, root: str) -> DataFrame:
+    """Times of groups after the halves of live photos have handed theirs over."""
+    g = _pairable(spark, root)
+    t = _groups(spark, root).select(F.col("group_id").alias("id"), "t", "source")
+    return pairs.propagate(t, pairs.live_pairs(g)).select(F.col("id").alias("group_id"), "t", "source")
+
+
+def output_names(spark: SparkSession, root: str) -> DataFrame:
+    """The extension that each group's kind asks for in place of its name's."""
+    g = table(spark, root, "media_groups").select("group_id", "kind", (F.col("canon_ord") + 1).alias("entry_id"))
+    e = table(spark, root, "entries").select("entry_id", "name")
+    return g.join(e, "entry_id").select("group_id", kinds.output_extension(F.col("kind"), F.col("name"), F.lit(False)).alias("ext"))
+
+
+def directories(spark: SparkSession, root: str) -> DataFrame:
+    g = table(spark, root, "media_groups").withColumn("copy", F.coalesce("placeholder", F.lit(False)))
+    return g.groupBy(placing.directory(F.col("copy"), F.lit(False), F.col("year"), F.col("kind")).alias("dir")).agg(F.count("*").alias("files"))
+
+
+def tag_places(spark: SparkSession, root: str) -> DataFrame:
+    """The arguments that write a group's place and caption."""
+    g = _groups(spark, root).where("lat between -90 and 90 and lon between -180 and 180")
+    a = tags.arguments(F.col("kind"), F.lit(False), F.lit(True), F.col("t"), F.lit(None).cast("bigint"), F.floor(F.col("lat") * 1000) / 1000, F.floor(F.col("lon") * 1000) / 1000, F.floor(F.col("alt") * 10) / 10, F.col("description"))
+    return g.select("group_id", F.array_join(a, " ").alias("args"))
+
+
+def last_purchases(spark: SparkSession, root: str) -> DataFrame:
+    """The last purchase of a user up to each event."""
+    e = table(spark, root, "events").select("user_id", "event_id", F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("bought"))
+    return zones.running_known(e, ["user_id"], "event_id", "bought").select("event_id", "last_known")
+
+
 QUERIES = (
     p4_found, p4_sidecar_times, p4_tag_times, p5_found,
     archive_missing_parts, archive_parts, line_gaps, path_check, root_split, fallback_root, system_files, album_json, folder_class, ext_kind, sniff_kind, screenshots,
@@ -454,6 +561,7 @@ QUERIES = (
     filename_dates, bounds, exif_walls, implied_offsets, dated_sidecars, local_years, pinned_clocks, offset_fill, date_actions,
     file_numbers, library_names, album_numbers, stride_sample, album_clones, tag_plan,
     entry_fates, ledger_balance, report_rollup, size_estimate, fat_limit, first_errors, journal_latest, pending_groups, missing_files, year_mismatch,
+    archive_index, archive_bodies, journal_lines, fallback_entries, picked_values, fate_union, shared_times, output_names, directories, tag_places, last_purchases,
 )
 
 
