@@ -43,9 +43,10 @@ _MAX_ROUNDS = 3
 _SIGN = "\u00a1-\u00ac\u00ae-\u00b6\u00b8-\u00bf\u00d7\u00f7\u02c6\u02dc\u201a\u201c-\u201e\u2020-\u2022\u2030\u2039\u203a\u20a7\u20ac\u2122\u2202\u220f\u2211\u221a\u221e\u222b\u2229\u2248\u2260-\u2265\u2310\u2320\u2321\u25ca"
 _PAIR = "\u00a2\u00a4-\u00a9\u00ac\u00ae-\u00b6\u00b8\u00b9\u00bc-\u00be\u00d7\u00f7\u02c6\u02dc\u2020-\u2022\u2030\u20ac\u2122\u2202\u220f\u2211\u221a\u221e\u222b\u2248\u2260-\u2265"
 _OPEN = "\u00a4\u00a6\u00a8\u00ac\u00af\u00b4\u00b8\u02c6\u02dc\u2020\u2021\u2030\u2122"
+# every alternative begins with the character beyond ASCII that gives it away
 ODD_PATTERN = (
     "[\u0080-\u009f\ue000-\uf8ff\u2500-\u259f]|\ufffd.|[\uff61-\uff9f]\ufffd"
-    f"|\\p{{L}}[{_SIGN}]+\\p{{L}}|[{_PAIR}]{{2}}|(?:^|[ /_])[{_OPEN}]\\p{{L}}|\\p{{Ll}}[\u00c2-\u00c5]\\p{{Ll}}"
+    f"|(?<=\\p{{L}})[{_SIGN}]+\\p{{L}}|[{_PAIR}]{{2}}|(?<=^|[ /_])[{_OPEN}]\\p{{L}}|(?<=\\p{{Ll}})[\u00c2-\u00c5]\\p{{Ll}}"
 )
 
 
@@ -240,28 +241,13 @@ def suspicion_pattern() -> str:
         parts += [cls(0xC2, 0xDF) + cont, cls(0xE0, 0xEF) + cont + "{2}", cls(0xF0, 0xF4) + cont + "{3}"]
     # two-byte encodings write lead bytes as ideographs or halfwidth letters
     parts.append("[\\u3400-\\u9fff\\uff61-\\uff9f]")
-    return "|".join(parts)
-
-
-# Frequent signs of garbling, tried before the exact pattern, as one class and a few pairs. Values without them still meet
-# the pattern derived from the tables.
-_TRIGGER = (
-    "\u0080-\u009f¡-¬®-¿×÷ƒˆ˜ЂЃЅЉ-ЌЏђѓѕљ-ќџ"
-    "–-⁄₧€№™←-⇿∂-≥⌐⌠⌡─-◊㐀-鿿-｡-ﾟ�"
-)
-_TRIGGER_PAIRS = (
-    "[a-z\u00df-\u00ff][\u00c2-\u00c5][a-z\u00df-\u00ff]",
-    "[\u0400-\u04ff][\u00a0\u00ad][A-Za-z]",
-    "[Â-ôĂĹ][ ­ŒœŠšŸŽžĆćŚśŤťŹźŁłĄąŞşĽľŻżˇ˘˙˛]",
-    "[Α-ωµ][À-ÿ]",
-    "[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]",
-    "[ЄІ-ЈЎєі-јўҐґ]",
-)
+    # nothing begins at an ASCII character, so those are passed by one test each
+    return "(?=[^\\x00-\\x7f])(?:" + "|".join(parts) + ")"
 
 
 def suspicious(col: F.Column) -> F.Column:
     """True where a value may be garbled; false values need no Python."""
-    return F.coalesce(F.rlike(col, F.lit("[^\\x00-\\x7f]")) & (F.rlike(col, F.lit(f"[{_TRIGGER}]|" + "|".join(_TRIGGER_PAIRS))) | F.rlike(col, F.lit(suspicion_pattern()))), F.lit(False))
+    return F.coalesce((F.length(col) != F.octet_length(col)) & F.rlike(col, F.lit(suspicion_pattern())), F.lit(False))
 
 
 REPAIR_SCHEMA = T.StructType([T.StructField("garbled", T.BooleanType()), T.StructField("fixed", T.StringType()), T.StructField("path", T.StringType())])
