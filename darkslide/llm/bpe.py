@@ -160,9 +160,15 @@ def merge(words_: DataFrame, ranks: F.Column) -> DataFrame:
     with_ranks = lambda d, f, *keep: d.select(*keep, let(ranks, lambda r: let(F.col("b"), lambda b: _ids(r, f(r, b)))).alias("ids"))
     done = with_ranks(w.where(short), _merge_short, "word")
     long = w.where(~short).withColumn("w", F.sha2("b", 256))
-    parts = long.select("w", F.posexplode(let(ranks, lambda r: let(F.col("b"), lambda b: _parts(r, b)))).alias("i", "b"))
-    spelled = with_ranks(parts.where(short), _merge_short, "w", "i").unionByName(_merge_runs(parts.where(~short), ranks))
-    spelled = spelled.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("s")).select("w", F.flatten(F.transform("s", lambda x: x["ids"])).alias("ids"))
+    if long.isEmpty():
+        return done
+    # the ranks are a large literal: every plan that names them costs the driver memory, so none is made in vain
+    parts = cut(long.select("w", F.posexplode(let(ranks, lambda r: let(F.col("b"), lambda b: _parts(r, b)))).alias("i", "b")), "parts")
+    runs = parts.where(~short)
+    pieces = with_ranks(parts.where(short).select("b").distinct(), _merge_short, "b").join(parts.where(short), "b").select("w", "i", "ids")
+    if not runs.isEmpty():
+        pieces = pieces.unionByName(_merge_runs(runs, ranks))
+    spelled = pieces.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("s")).select("w", F.flatten(F.transform("s", lambda x: x["ids"])).alias("ids"))
     return done.unionByName(long.select("w", "word").join(spelled, "w").select("word", "ids"))
 
 
