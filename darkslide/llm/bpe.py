@@ -12,6 +12,8 @@ from __future__ import annotations
 import base64
 import json
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -172,6 +174,18 @@ def merge(words_: DataFrame, ranks: F.Column) -> DataFrame:
     return done.unionByName(long.select("w", "word").join(spelled, "w").select("word", "ids"))
 
 
+@contextmanager
+def _short_plans(spark: SparkSession, length: int = 1 << 16) -> Iterator[None]:
+    """Cuts the text of plans while those with the ranks in them run: the driver keeps it for every query, and the ranks alone are a megabyte of it."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(length))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _coded(texts: DataFrame, ranks: F.Column, chunk: int) -> DataFrame:
     """(id, _key, no, codes, rest) of chunks of words: ids of the words that are tokens, and for the others their place, counted down from -1, in rest. Written once."""
     docs = texts.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_key", F.xxhash64("text"))
@@ -210,9 +224,10 @@ def encode(texts: DataFrame, ranks: F.Column, chunk: int = 512, broadcast_bytes:
     cross the network only where they are no tokens themselves, once per chunk; their table of ids is broadcast while
     its bytes are within broadcast_bytes, else joined by hash, where AQE splits the partitions of very frequent words.
     """
-    parts = _coded(texts, ranks, chunk)
-    pairs = parts.select("id", "_key", "no", F.explode("rest").alias("word"))
-    made = _spelled(pairs, ranks, broadcast_bytes)
+    with _short_plans(texts.sparkSession):
+        parts = _coded(texts, ranks, chunk)
+        pairs = parts.select("id", "_key", "no", F.explode("rest").alias("word"))
+        made = _spelled(pairs, ranks, broadcast_bytes)
     spelled = pairs.join(made, "word").select("id", "_key", "no", F.struct("word", "ids").alias("s"))
     none = lambda d, c: F.lit(None).cast(d.schema[c].dataType)
     both = parts.withColumn("s", none(spelled, "s")).unionByName(spelled.withColumns({"codes": none(parts, "codes"), "rest": none(parts, "rest")}))
@@ -226,9 +241,10 @@ def encode(texts: DataFrame, ranks: F.Column, chunk: int = 512, broadcast_bytes:
 
 def token_counts(texts: DataFrame, ranks: F.Column, chunk: int = 512, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """(id, tokens): how many ids encode would give; as encode, but only numbers cross the network."""
-    parts = _coded(texts, ranks, chunk)
-    pairs = parts.select("id", "_key", F.explode(F.filter("codes", lambda c: c < 0)).alias("c"), "rest").select("id", "_key", F.get("rest", -F.col("c") - 1).alias("word"))
-    made = _spelled(pairs, ranks, broadcast_bytes)
+    with _short_plans(texts.sparkSession):
+        parts = _coded(texts, ranks, chunk)
+        pairs = parts.select("id", "_key", F.explode(F.filter("codes", lambda c: c < 0)).alias("c"), "rest").select("id", "_key", F.get("rest", -F.col("c") - 1).alias("word"))
+        made = _spelled(pairs, ranks, broadcast_bytes)
     long = pairs.join(made, "word").select("id", "_key", F.size("ids").cast("long").alias("n"), F.lit(0).alias("times"))
     each = parts.select("id", "_key", F.size(F.filter("codes", lambda c: c >= 0)).cast("long").alias("n"), F.when(F.col("no") == 0, 1).otherwise(0).alias("times"))
     total = each.unionByName(long).groupBy("id", "_key").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
