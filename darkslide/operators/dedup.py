@@ -53,11 +53,25 @@ def distinct_times(df: DataFrame, group: str, time: str, order: str, slack: int)
     return kept.select(group, F.size(greedy_distinct(F.transform("_ts", lambda x: x["_t"].cast("bigint")), slack)).cast("bigint").alias("n"))
 
 
+def with_distinct_times(df: DataFrame, group: str, time: str, order: str, slack: int, least: int) -> DataFrame:
+    """(group): groups whose rows have at least `least` distinct times, greedily by order.
+
+    Each round takes the first time by order that is more than slack off all taken before, by an aggregate that combines
+    before it is shuffled, so a group may hold any share of the rows; null times do not count.
+    """
+    rows = df.where(F.col(time).isNotNull()).select(group, F.col(time).cast("bigint").alias("_t"), F.col(order).alias("_o"))
+    found = rows.select(group).distinct()
+    for i in range(least):
+        found = rows.groupBy(group).agg(F.min_by("_t", "_o").alias("_k"))
+        if i + 1 < least:
+            rows = rows.join(found, group).where(F.abs(F.col("_t") - F.col("_k")) > slack).drop("_k")
+    return found.select(group)
+
+
 def placeholders(members: DataFrame, group: str, time: str, order: str, size: str, slack: int = 60, least: int = 3, small: int = 16384) -> DataFrame:
     """(group): at least three members with three distinct times whose first member is small, as images that stand in for lost files are."""
     many = members.groupBy(group).agg(F.count("*").alias("_n"), F.min_by(size, order).alias("_size")).where((F.col("_n") >= least) & (F.col("_size") <= small))
-    times = distinct_times(members.join(many.select(group), group, "left_semi"), group, time, order, slack)
-    return times.where(F.col("n") >= least).select(group)
+    return with_distinct_times(members.join(many.select(group), group, "left_semi"), group, time, order, slack, least)
 
 
 def conflicts(members: DataFrame, group: str, time: str, order: str, canon: str, slack: int = 60) -> DataFrame:

@@ -158,3 +158,24 @@ def test_journal_queries(spark):
     g = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     assert rows(journal.pending(g, last, "id")) == [("a", "albums"), ("c", "all")]
     assert rows(journal.missing_files(last, spark.createDataFrame([("2020/x",)], "path string"))) == [("2020/y",), ("al/x",)]
+
+
+def test_distinct_times_by_rounds_are_the_greedy_ones(spark):
+    import random
+
+    from darkslide.operators import dedup
+
+    r = random.Random(4)
+    rows = [(g, i, r.choice([None, r.randrange(0, 200)])) for g in range(60) for i in range(r.randrange(0, 9))] + [(99, i, 5) for i in range(500)]
+    df = spark.createDataFrame(rows, "g long, o long, t long").withColumn("_k", __import__("pyspark").sql.functions.lit("clash"))
+    for least in (1, 2, 3):
+        want = set()
+        for g in {x[0] for x in rows}:
+            kept = []
+            for _, t in sorted((o, t) for a, o, t in rows if a == g and t is not None):
+                if all(abs(t - k) > 30 for k in kept):
+                    kept.append(t)
+            if len(kept) >= least:
+                want.add(g)
+        assert {x.g for x in dedup.with_distinct_times(df, "g", "t", "o", 30, least).collect()} == want
+    assert dedup.with_distinct_times(df.where("false"), "g", "t", "o", 30, 3).count() == 0
